@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_format, exact_dedup
+from tidemark.llm import chat_format, exact_dedup, quality_rules
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op5_chat_format": chat_format.op5_chat_format,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
     }
 
 
