@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_format, exact_dedup, quality_rules
+from tidemark.llm import bpe, chat_format, exact_dedup, quality_rules
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op5_chat_format": chat_format.op5_chat_format,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_bpe": bpe.op8_bpe,
     }
 
 
