@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat_format, exact_dedup, lm_score, quality_rules
+from tidemark.llm import bpe, chat_format, exact_dedup, lm_score, packing, quality_rules
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_chat_format": chat_format.op5_chat_format,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_bpe": bpe.op8_bpe,
+        "op10_packing": packing.op10_packing,
     }
 
 
