@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, ship_package
 
 BLOCK_CHARS = 8 << 20
 BLOCK_SCHEMA = "block long, data binary"
@@ -53,6 +53,8 @@ def unpack_ints(data: bytes, dtype) -> np.ndarray:
 
 def word_lists(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     """Offsets per text, and the words [^\\x20\\x09-\\x0D]+ of all texts one after the other."""
+    if texts.offset:  # ascii_lower misreads slices
+        texts = texts.take(pa.array(np.arange(len(texts))))
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     words = lists.flatten()
@@ -93,6 +95,7 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 def pack_blocks(docs: DataFrame, columns: list[str], block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Table (block, data) of docs; columns must hold `text`. Row order within a block is kept."""
+    ship_package(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

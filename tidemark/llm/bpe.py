@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import blocks as B
-from tidemark.llm.common import read_table
+from tidemark.llm.common import read_table, ship_package
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words per call of the tokenizer.
@@ -150,6 +150,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text of a table (doc_id, ids)."""
+    ship_package(encoded.sparkSession)
     path = path or default_vocabulary()
 
     def run(batches):

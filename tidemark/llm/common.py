@@ -59,3 +59,25 @@ def native_words(text: Column) -> Column:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the session, once: they may not have it on their path."""
+    import os
+    import zipfile
+
+    import tidemark
+
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_sent", False):
+        return
+    top = os.path.dirname(os.path.abspath(tidemark.__file__))
+    if os.path.isdir(top):
+        target = os.path.join(tempfile.mkdtemp(prefix="tidemark-code-"), "tidemark.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(top):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    at = os.path.join(folder, name)
+                    z.write(at, os.path.relpath(at, os.path.dirname(top)))
+        context.addPyFile(target)
+    context._tidemark_sent = True
