@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat_format, exact_dedup, lm_score, packing, quality_rules
+from tidemark.llm import bpe, chat_format, exact_dedup, lm_score, minhash, packing, quality_rules
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_near_dedup": minhash.op3_near_dedup,
         "op4_lm_score": lm_score.op4_lm_score,
         "op5_chat_format": chat_format.op5_chat_format,
         "op7_quality_rules": quality_rules.op7_quality_rules,
