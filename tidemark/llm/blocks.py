@@ -162,3 +162,14 @@ def with_replies(blocks: DataFrame, replies: DataFrame, work, schema: str) -> Da
         return pa.concat_tables(tables)
 
     return blocks.groupBy("block").cogroup(replies.where(F.col("block") >= 0).groupBy("block")).applyInArrow(run, schema)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose text column has a bounded size; a longer text is a slice of its own."""
+    for b in batches:
+        upto_size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64))
+        at = 0
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(upto_size, (upto_size[at - 1] if at else 0) + size)))
+            yield b.slice(at, upto - at)
+            at = upto
