@@ -1,8 +1,69 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: toxicity, quality rules, exact dedup, near-dedup, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns
+them with the columns of documents; the last one returns pieces of packed sequences. Rows are kept or
+dropped by id; rows that repeat an id are one document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm.common import materialize, read_table
+from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.toxicity import toxicity, train
+
+#: Words per shingle and percent of similarity of near duplicates.
+SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents whose id is not in dropped(doc_id); rows with a null id stay."""
+    return docs.join(dropped.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the sentence model does not reject. It learns from all labels of the documents at hand."""
+    from pyspark.sql import functions as F
+
+    model = train(docs, read_table(spark, sf_dir, "labels"), F.lit(True))
+    return _without(docs, toxicity(docs, model).where("predicted = 1").select("doc_id"))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers."""
+    return _without(docs, quality_rules(docs).where("NOT kept").select("doc_id"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return _without(docs, exact_dedup(docs).where("NOT kept").select("doc_id"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return _without(docs, near_duplicates(docs, n=SHINGLE_WORDS, percent=SIMILARITY_PERCENT).where("NOT kept").select("doc_id"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality rules", drop_low_quality), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("packing", pack)]
+
+#: The model of the first stage is not expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again as the next one's input."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, f"stage{k}")
+    return docs
