@@ -93,8 +93,13 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def pack_blocks(docs: DataFrame, columns: list[str], block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Table (block, data) of docs; columns must hold `text`. Row order within a block is kept."""
+def pack_blocks(docs: DataFrame, columns: list[str], block_chars: int = BLOCK_CHARS, parts: int | None = None) -> DataFrame:
+    """Table (block, data) of docs; columns must hold `text`. Row order within a block is kept.
+
+    With parts, no table is written: blocks lie hash-partitioned in one shuffle that all readers share.
+    That saves a copy of the corpus on disk, and needs docs whose partitions repeat exactly when a lost
+    one is read again, as those of files do.
+    """
     ship_package(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +128,15 @@ def pack_blocks(docs: DataFrame, columns: list[str], block_chars: int = BLOCK_CH
         if held:
             yield close()
 
-    return materialize(docs.select(*columns).mapInArrow(pack, BLOCK_SCHEMA), "blocks", "none")
+    packed = docs.select(*columns).mapInArrow(pack, BLOCK_SCHEMA)
+    return packed.repartition(parts, "block") if parts else materialize(packed, "blocks", "none")
 
 
 def one_row(block=None, bucket=None, data: bytes = b"") -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary())})
 
 
-def exchange(blocks: DataFrame, n: int, ask, answer) -> DataFrame:
+def exchange(blocks: DataFrame, n: int, ask, answer, table: bool = True) -> DataFrame:
     """Table (bucket, block, data) of replies.
 
     ask(table, n) yields (bucket, data) for a block; answer([data, ...]) yields one reply per request,
@@ -150,7 +156,8 @@ def exchange(blocks: DataFrame, n: int, ask, answer) -> DataFrame:
         return pa.Table.from_batches(found)
 
     sent = blocks.mapInArrow(requests, MESSAGE_SCHEMA)
-    return materialize(sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(replies, MESSAGE_SCHEMA), "replies", "none")
+    got = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(replies, MESSAGE_SCHEMA)
+    return materialize(got, "replies", "none") if table else got
 
 
 def with_replies(blocks: DataFrame, replies: DataFrame, work, schema: str) -> DataFrame:

@@ -88,8 +88,9 @@ def block_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 def encode_corpus(docs: DataFrame, work, schema: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_chars: int = B.BLOCK_CHARS) -> DataFrame:
     """work(doc_ids, token offsets per document, ids) for each block of documents."""
     path = path or default_vocabulary()
-    blocks = B.pack_blocks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], block_chars)
-    n = max(1, blocks.count())
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    n = max(1, -(-int(size) // block_chars))
+    blocks = B.pack_blocks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], block_chars, parts=n)
 
     def routed(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         bucket = B.bucket_of(B.hash_words(distinct), n)
@@ -114,7 +115,7 @@ def encode_corpus(docs: DataFrame, work, schema: str, id_col: str = "doc_id", te
             found, _ = spread(mine, counts, ids)
             yield B.pack_table(pa.table({"n": pa.array([B.pack_ints(counts[mine].astype(np.uint32))], pa.binary()), "ids": pa.array([B.pack_ints(found.astype(np.uint32))], pa.binary())}))
 
-    replies = B.exchange(blocks, n, ask, answer)
+    replies = B.exchange(blocks, n, ask, answer, table=False)
 
     def finish(table, got):
         offsets, codes, distinct = block_words(table)
