@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning.
 
-A text is a bag of sentences, a sentence a bag of words. A sentence is offending with probability
+A text is a bag of sentences, a sentence a bag of words and beginnings of words. A sentence is offending with probability
 sigmoid(b + sum of its words' weights), weights not negative; a text is toxic unless no sentence
 offends: P = 1 - prod(1 - p) (noisy-or). Weights and b are trained from document labels alone by
 gradient steps on the log-likelihood, and then locate the offending sentences.
@@ -31,7 +31,10 @@ from tidemark.llm.samples import labelled_sample
 PER_CLASS = 3000
 MAX_WORDS = 20_000
 STEPS, RATE, DECAY = 400, 0.15, 2e-3
-MARKS = ".,;:!?\"'()[]{}«»“”¡¿"
+START = 1.0
+MARKS = ".,;:!?\"'()[]{}«»“”¡¿*#$%&|<>+=~^_-"
+#: Beginnings of longer words are features too, for inflected and compound forms.
+PREFIXES = (5, 7)
 THRESHOLD = 0.3
 
 
@@ -64,7 +67,17 @@ class Sentences:
         self.first = np.flatnonzero(new)  # first word of each sentence
         self.doc = line_doc[line[self.first]] if len(line) else np.zeros(0, np.int64)
         self.n_docs = len(texts)
-        self.hashes = B.hash_words(pc.utf8_trim(self.words, MARKS))
+        bare = pc.utf8_trim(self.words, MARKS)
+        length = np.asarray(pc.utf8_length(bare)).astype(np.int64)
+        self.features = [B.hash_words(bare)]
+        for k in PREFIXES:
+            self.features.append(np.where(length > k, B.mix(B.hash_words(pc.utf8_slice_codeunits(bare, 0, k)), k), np.uint64(0)))
+
+    def bag(self) -> tuple[np.ndarray, np.ndarray]:
+        """Features and their sentences, in order of sentences."""
+        h = np.stack([f[self.codes] for f in self.features], axis=1).ravel()
+        of = np.repeat(self.of_word, len(self.features))
+        return h[h != 0], of[h != 0]
 
     def number(self) -> np.ndarray:
         """Place of each sentence in its text, from 0."""
@@ -111,7 +124,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], counts: dict[int, int])
         at += len(held)
     row, col, doc = np.concatenate(rows).astype(np.int64), np.concatenate(cols).astype(np.int64), np.array(doc, np.int64)
     cost = np.where(labels == 1, share / n1, (1 - share) / n0) * len(bags)
-    w, b = np.zeros(len(keys)), -6.0
+    # start from each word's own log-odds, above the bias of a plain sentence
+    lift = np.log((in1[chosen] + 0.1) / n1) - np.log((in0[chosen] + 0.1) / n0)
+    w, b = np.maximum(lift, 0.0) + START, -6.0 - START
     gw, gb = np.full(len(keys), 1e-8), 1e-8
     for _ in range(STEPS):
         p = np.minimum(_sigmoid(b + np.bincount(row, w[col], at)), 1 - 1e-9)
@@ -130,10 +145,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], counts: dict[int, int])
 
 
 def sentence_scores(s: Sentences, model: Model) -> np.ndarray:
-    weight = np.zeros(len(s.hashes))
-    if len(model.keys):
-        at = np.minimum(np.searchsorted(model.keys, s.hashes), len(model.keys) - 1)
-        weight = np.where(model.keys[at] == s.hashes, model.weights[at], 0.0)
+    weight = np.zeros(len(s.words))
+    for f in s.features if len(model.keys) else []:
+        at = np.minimum(np.searchsorted(model.keys, f), len(model.keys) - 1)
+        weight += np.where(model.keys[at] == f, model.weights[at], 0.0)
     return _sigmoid(model.bias + np.bincount(s.of_word, weight[s.codes], len(s.doc)))
 
 
@@ -145,8 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, usable, label_col: str = "toxic",
     def bags(batches):
         for b in B.text_slices(batches, 0):
             s = Sentences(b.column(0))
-            cuts = np.searchsorted(s.doc[s.of_word] if len(s.doc) else np.zeros(0), np.arange(s.n_docs + 1))
-            h, of = s.hashes[s.codes] if len(s.codes) else np.zeros(0, np.uint64), s.of_word.astype(np.uint32)
+            h, of = s.bag()
+            cuts = np.searchsorted(s.doc[of] if len(s.doc) else np.zeros(0), np.arange(s.n_docs + 1))
+            of = of.astype(np.uint32)
             spans = list(zip(cuts[:-1], cuts[1:]))
             yield pa.RecordBatch.from_arrays([pa.array([h[a:e].tobytes() for a, e in spans], pa.binary()), pa.array([of[a:e].tobytes() for a, e in spans], pa.binary()), b.column(1).cast(pa.int32())], ["h", "s", "y"])
 
