@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import blocks as B
-from tidemark.llm.common import crc_remainder, read_table, ship_package
+from tidemark.llm.common import crc_remainder, materialize, read_table, ship_package
 from tidemark.llm.samples import labelled_sample
 
 PER_CLASS = 3000
@@ -92,41 +92,28 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], counts: dict[int, int]) -> Model:
-    """Trains on bags (word hashes, sentence of each word, label); counts are the true counts of labels 0 and 1."""
-    labels = np.array([y for _, _, y in bags], np.int64)
-    total = max(1, sum(counts.values()))
-    share = counts.get(1, 0) / total
-    if len(set(labels.tolist())) < 2:
+def fit(keys: np.ndarray, lift: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int, int]], counts: dict[int, int]) -> Model:
+    """Trains weights of the screened words keys, which start from lift.
+
+    bags: for each text the places in keys that it holds, the sentence of each, its number of
+    sentences, and its label; counts: the true counts of labels 0 and 1.
+    """
+    labels = np.array([y for *_, y in bags], np.int64)
+    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    if not (n1 and n0 and len(keys)):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, share)
-    # screening: words in more of the toxic texts than chance gives
-    keys, inverse = np.unique(np.concatenate([np.unique(h) for h, _, _ in bags]), return_inverse=True)
-    owner = np.repeat(np.arange(len(bags)), [len(np.unique(h)) for h, _, _ in bags])
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    in1, in0 = np.bincount(inverse, labels[owner], len(keys)), np.bincount(inverse, 1 - labels[owner], len(keys))
-    r1, r0 = in1 / n1, (in0 + 0.5) / (n0 + 1)
-    excess = (r1 - r0) / np.sqrt((r0 + 1 / n1) / n1 + r0 / n0)
-    chosen = np.flatnonzero((in1 >= min(3, n1)) & (r1 > 1.5 * r0) & (excess > 2.5))
-    chosen = np.sort(chosen[np.argsort(-excess[chosen], kind="stable")[:MAX_WORDS]])
-    keys = keys[chosen]
-    if not len(keys):
-        return Model(keys, np.zeros(0), 0.0, share)
-    # sentences with chosen words, as (sentence, word) pairs; the others of a text only count
     rows, cols, doc, plain, at = [], [], [], np.zeros(len(bags)), 0
-    for k, (h, s, _) in enumerate(bags):
-        place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        hit = keys[place] == h
-        held, mine = np.unique(s[hit], return_inverse=True)
+    for k, (place, sentence, n, _) in enumerate(bags):
+        held, mine = np.unique(sentence, return_inverse=True)
         rows.append(mine + at)
-        cols.append(place[hit])
+        cols.append(place)
         doc += [k] * len(held)
-        plain[k] = (s[-1] - s[0] + 1 if len(s) else 0) - len(held)
+        plain[k] = n - len(held)
         at += len(held)
     row, col, doc = np.concatenate(rows).astype(np.int64), np.concatenate(cols).astype(np.int64), np.array(doc, np.int64)
     cost = np.where(labels == 1, share / n1, (1 - share) / n0) * len(bags)
-    # start from each word's own log-odds, above the bias of a plain sentence
-    lift = np.log((in1[chosen] + 0.1) / n1) - np.log((in0[chosen] + 0.1) / n0)
-    w, b = np.maximum(lift, 0.0) + START, -6.0 - START
+    w, b = np.maximum(lift, 0.0) + START, -6.0 - START  # each word's own log-odds above a plain sentence
     gw, gb = np.full(len(keys), 1e-8), 1e-8
     for _ in range(STEPS):
         p = np.minimum(_sigmoid(b + np.bincount(row, w[col], at)), 1 - 1e-9)
@@ -157,17 +144,50 @@ def train(docs: DataFrame, labels: DataFrame, usable, label_col: str = "toxic",
     ship_package(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, label_col, usable, per_class)
 
-    def bags(batches):
+    sample = materialize(sample.select("text", F.when(F.col("label") == 1, 1).otherwise(0).alias("label")), "toxicity-sample")
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+
+    def presence(batches):
+        """Number of texts of each label that hold a feature, per slice."""
         for b in B.text_slices(batches, 0):
             s = Sentences(b.column(0))
             h, of = s.bag()
-            cuts = np.searchsorted(s.doc[of] if len(s.doc) else np.zeros(0), np.arange(s.n_docs + 1))
-            of = of.astype(np.uint32)
-            spans = list(zip(cuts[:-1], cuts[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array([h[a:e].tobytes() for a, e in spans], pa.binary()), pa.array([of[a:e].tobytes() for a, e in spans], pa.binary()), b.column(1).cast(pa.int32())], ["h", "s", "y"])
+            y = np.asarray(b.column(1)).astype(np.int64)
+            order = np.lexsort((of if not len(s.doc) else s.doc[of], h))
+            h, doc = h[order], (s.doc[of] if len(s.doc) else of)[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            keys, place = np.unique(h[new], return_inverse=True)
+            in1 = np.bincount(place, y[doc[new]], len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(in1), pa.array(np.bincount(place, minlength=len(keys)) - in1)], ["key", "in1", "in0"])
 
-    rows = sample.select("text", "label").mapInArrow(bags, "h binary, s binary, y int").collect()
-    return fit([(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["s"], np.uint32).astype(np.int64), int(r["y"] == 1)) for r in rows], {0: sum(n for k, n in counts.items() if k != 1), 1: counts.get(1, 0)})
+    # screening: words in more of the toxic texts than chance gives
+    found = sample.mapInArrow(presence, "key long, in1 long, in0 long").groupBy("key").agg(F.sum("in1").alias("in1"), F.sum("in0").alias("in0"))
+    r1, r0 = F.col("in1") / F.lit(max(n1, 1)), (F.col("in0") + 0.5) / F.lit(n0 + 1)
+    excess = (r1 - r0) / F.sqrt((r0 + 1.0 / max(n1, 1)) / F.lit(max(n1, 1)) + r0 / F.lit(max(n0, 1)))
+    chosen = found.where((F.col("in1") >= min(3, n1)) & (r1 > 1.5 * r0) & (excess > 2.5)).orderBy(F.desc(excess), "key").limit(MAX_WORDS).collect() if n1 and n0 else []
+    keys = np.array([r["key"] for r in chosen], np.int64).view(np.uint64)
+    lift = np.array([np.log((r["in1"] + 0.1) / n1) - np.log((r["in0"] + 0.1) / n0) for r in chosen])
+    order = np.argsort(keys)
+    keys, lift = keys[order], lift[order]
+
+    def hits(batches):
+        """Screened words of each text, with their sentences."""
+        for b in B.text_slices(batches, 0):
+            s = Sentences(b.column(0))
+            h, of = s.bag()
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[place] == h
+            place, of = place[hit].astype(np.uint32), of[hit]
+            cuts = np.searchsorted(s.doc[of] if len(of) else of, np.arange(s.n_docs + 1))
+            spans, own = list(zip(cuts[:-1], cuts[1:])), of.astype(np.uint32)
+            sentences = np.bincount(s.doc, minlength=s.n_docs)
+            yield pa.RecordBatch.from_arrays([pa.array([place[a:e].tobytes() for a, e in spans], pa.binary()), pa.array([own[a:e].tobytes() for a, e in spans], pa.binary()), pa.array(sentences, pa.int64()), b.column(1).cast(pa.int32())], ["h", "s", "n", "y"])
+
+    rows = sample.mapInArrow(hits, "h binary, s binary, n long, y int").collect() if len(keys) else []
+    bags = [(np.frombuffer(r["h"], np.uint32), np.frombuffer(r["s"], np.uint32), r["n"], r["y"]) for r in rows]
+    return fit(keys, lift, bags, {0: sum(c for k, c in counts.items() if k != 1), 1: counts.get(1, 0)})
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
