@@ -10,7 +10,7 @@
    their overlap (lists in common), are filtered by the union-sketch estimate, and pairs that remain
    are verified by the exact Jaccard similarity of the full sets, built again from the texts.
 4. Lists whose members lie in one component are done. In the others only pairs across components
-   matter: short lists give all such pairs; long ones are tried against a few pivots over rounds.
+   matter: short lists give all such pairs; long ones are tried against a few pivots.
    What is still apart then shares a long passage but is no copy. A class with fewer than LEAST_RUNS
    long lists has no partner that short lists do not show; the others are compared by their sketches
    in blocks, all pairs across components, and only pairs that pass the estimate are written. No list
@@ -39,11 +39,13 @@ from tidemark.llm.common import materialize, read_table, ship_package
 from tidemark.llm.components import components
 
 K = 64
+#: Values of a wide sketch, of 4 bytes: made for classes with candidates, it settles most sets exactly.
+WIDE = 512
 #: Sets of up to SMALL shingles are listed under runs of two, larger ones under runs of three.
 SMALL = 64
 #: Lists up to this length give all pairs across components at once.
 SHORT_LIST = 40
-PIVOTS, PIVOT_ROUNDS = 4, 2
+PIVOTS, PIVOT_ROUNDS = 6, 1
 #: Members of a block when the rest of a long list is compared.
 BLOCK = 128
 #: A pair that only long lists could show shares at least so many of them: of 62 runs of three retained
@@ -129,24 +131,24 @@ def _postings(classes: DataFrame, similarity: float) -> DataFrame:
     return classes.where(F.col("n") >= least).select("cid", "n", "sketch").mapInArrow(run, "key long, cid long")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Sketches as rows of K values; what is missing is the largest value."""
-    out = np.full((len(column), K), np.iinfo(np.uint64).max, np.uint64)
+def _matrix(column: pa.Array, width: int = K, dtype=np.uint64) -> np.ndarray:
+    """Sketches as rows of width values; what is missing is the largest value."""
+    out = np.full((len(column), width), np.iinfo(np.uint64).max, np.uint64)
     for k, x in enumerate(column):
-        v = np.frombuffer(x.as_buffer(), np.uint64)
+        v = np.frombuffer(x.as_buffer(), dtype)
         out[k, : len(v)] = v
     return out
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated similarity from the K smallest values of the union, and how many values it rests on (all: exact)."""
-    top = np.iinfo(np.uint64).max
+    """Estimated similarity from the smallest values of the union, as many as a sketch holds, and how many values it rests on (all: exact)."""
+    top, width = np.iinfo(np.uint64).max, a.shape[1]
     both = np.sort(np.concatenate([a, b], axis=1), axis=1)
     twice = np.zeros(both.shape, bool)
     twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != top)
     rank = np.cumsum(~twice, axis=1)
-    whole = (na <= K) & (nb <= K)
-    limit = np.where(whole, 2 * K, K)[:, None]
+    whole = (na <= width) & (nb <= width)
+    limit = np.where(whole, 2 * width, width)[:, None]
     real = both != top
     shared = (twice & (rank <= limit)).sum(1)
     used = (~twice & real & (rank <= limit)).sum(1)
@@ -154,9 +156,9 @@ def union_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
 
 
 def _passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the estimate is no more than 4.5 standard errors below the similarity asked for."""
+    """Whether the estimate is no more than 4.5 standard errors below the similarity asked for (wide sketches: 1/100 if whole)."""
     j, used = union_estimate(a, b, na, nb)
-    return j >= similarity - 1e-9 - np.where(used >= 1 << 30, 0, 4.5 * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1)))
+    return j >= similarity - 1e-9 - np.where(used >= 1 << 30, 0.01 * (a.shape[1] == WIDE), 4.5 * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1)))
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -175,18 +177,37 @@ def _promising(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
     return met.where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of their full sets, built from the texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _full_sets(docs: DataFrame, ids: DataFrame, n: int, full: bool = True) -> DataFrame:
+    """(doc_id, size, wide, set) of the documents in ids(doc_id), built from their texts."""
 
     def build(batches):
         for b in _slices(batches):
             offsets, s = shingle_sets(b.column(1), n)
-            raw = s.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[8 * a : 8 * e] for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())], ["doc_id", "set"])
+            raw, high, cuts = s.tobytes(), (s >> np.uint64(32)).astype(np.uint32).tobytes(), list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+            wide = [high[4 * a : 4 * min(e, a + WIDE)] for a, e in cuts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(wide, pa.binary()), pa.array([raw[8 * a : 8 * e] if full else b"" for a, e in cuts], pa.binary())], ["doc_id", "size", "wide", "set"])
+
+    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(build, "doc_id long, size long, wide binary, set binary").dropDuplicates(["doc_id"])
+
 
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(build, "doc_id long, set binary").dropDuplicates(["doc_id"])
-    sets = materialize(sets, "sets", "none")
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union of their full sets, built from the texts.
+
+    Wide sketches settle what is far from the bound first, so that few full sets travel.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = materialize(_full_sets(docs, ids, n), "sets", "none")
+    w = sets.select("doc_id", "size", "wide")
+    near = pairs.join(w.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.col("wide").alias("sb")), "b").join(w.select(F.col("doc_id").alias("a"), F.col("size").alias("na"), F.col("wide").alias("sa")), "a")
+
+    def settle(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                x = b.slice(at, 1024)
+                keep = pa.array(_passes(_matrix(x.column(4), WIDE, np.uint32), _matrix(x.column(5), WIDE, np.uint32), np.asarray(x.column(2)), np.asarray(x.column(3)), percent / 100))
+                yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], ["a", "b"])
+
+    pairs = near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(settle, "a long, b long")
     met = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
 
     def compare(batches):
@@ -233,45 +254,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = found.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
         return materialize(found.join(open_, "key"), "open-lists")
 
-    def add(pairs: DataFrame, name: str) -> bool:
-        nonlocal links, tried
-        new = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), name)
+    def more_links(pairs: DataFrame, name: str) -> bool:
+        """Tries pairs that were not tried before; links found join the components."""
+        nonlocal done, tried
+        new = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), name)
         say(name, lambda: new.count())
         if new.isEmpty():
             return False
-        tried = tried.select("a", "b").unionByName(new)
-        more = _verified(materialize(_promising(new, classes, similarity), "promising"), texts, n, percent)
-        say("links", lambda: more.count())
-        links = links.unionByName(more)
-        return not more.isEmpty()
+        tried = tried.unionByName(new)
+        found = _verified(materialize(_promising(new, classes, similarity), "promising"), texts, n, percent)
+        say("links", lambda: found.count())
+        if found.isEmpty():
+            return False
+        done = components(done.unionByName(found))
+        return True
 
+    tried = tried.select("a", "b")
     done = components(links)
-    left = apart(done)
-    say("open", lambda: left.count(), lambda: left.where(F.col("members") > SHORT_LIST).count())
     m = F.col("m")
-    short = left.where(F.col("members") <= SHORT_LIST).groupBy("key").agg(F.collect_list(F.struct("cid", "comp")).alias("m"))
     across = F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (x["cid"] < y["cid"]) & (x["comp"] != y["comp"])), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b")))))
-    add(short.select(F.explode(across).alias("p")).select("p.a", "p.b"), "short-pairs")
-
-    long_lists = None
+    changed = True
     for turn in range(PIVOT_ROUNDS):
-        done = components(links)
-        long_lists = apart(done).where(F.col("members") > SHORT_LIST)
-        say("long", lambda: long_lists.count(), lambda: long_lists.select("key").distinct().count())
-        if long_lists.isEmpty():
-            break
+        left = apart(done)
+        say("open", lambda: left.count(), lambda: left.where(F.col("members") > SHORT_LIST).count())
         order = lambda j: F.xxhash64(F.col("cid"), F.lit(turn * PIVOTS + j))  # noqa: E731, B023
+        long_lists = left.where(F.col("members") > SHORT_LIST)
         pivots = long_lists.groupBy("key").agg(F.array(*[F.min_by(F.struct("cid", "comp"), order(j)) for j in range(PIVOTS)]).alias("pivots"))
         pairs = long_lists.join(pivots, "key").select("cid", "comp", F.explode(F.array_distinct("pivots")).alias("p")).where("comp <> p.comp").select(F.col("cid").alias("a"), F.col("p.cid").alias("b"))
-        add(pairs, "pivot-pairs")
-    else:
-        long_lists = apart(components(links)).where(F.col("members") > SHORT_LIST)
-        heavy = long_lists.groupBy("cid").agg(F.count(F.lit(1)).alias("runs"), F.collect_list("key").alias("keys")).join(classes.select("cid", "n", "sketch"), "cid").where((F.col("runs") >= LEAST_RUNS) | (F.col("n") <= SMALL))
-        left = materialize(long_lists.join(heavy, "cid"), "heavy-lists")
-        say("heavy", lambda: left.count(), lambda: left.groupBy("key", "comp").count().groupBy("key").agg(((F.sum("count") ** 2 - F.sum(F.col("count") ** 2)) / 2).alias("x")).agg(F.sum("x"), F.max("x")).first())
-        if not left.isEmpty():
-            add(_block_pairs(left, similarity), "block-pairs")
-    done = components(links)
+        if turn == 0:
+            short = left.where(F.col("members") <= SHORT_LIST).groupBy("key").agg(F.collect_list(F.struct("cid", "comp")).alias("m"))
+            pairs = pairs.unionByName(short.select(F.explode(across).alias("p")).select("p.a", "p.b"))
+        changed = more_links(pairs, "pivot-pairs")
+    long_lists = (apart(done) if changed else left).where(F.col("members") > SHORT_LIST)
+    heavy = long_lists.groupBy("cid").agg(F.count(F.lit(1)).alias("runs"), F.collect_list("key").alias("keys")).join(classes.select("cid", "n", "sketch"), "cid").where((F.col("runs") >= LEAST_RUNS) | (F.col("n") <= SMALL))
+    heavy = materialize(heavy, "heavy-classes")
+    wide = _full_sets(texts, heavy.select(F.col("cid").alias("doc_id")), n, full=False).select(F.col("doc_id").alias("cid"), "wide")
+    heavy = materialize(long_lists.join(heavy.join(wide, "cid"), "cid"), "heavy-lists")
+    say("heavy", lambda: heavy.count())
+    if not heavy.isEmpty():
+        more_links(_block_pairs(heavy, similarity), "block-pairs")
     say("components", lambda: done.count())
 
     named = classes.select("set_id", "cid").join(done.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "cid", "left").select("set_id", F.coalesce("comp", "cid").alias("comp"))
@@ -291,14 +312,14 @@ def _common(a: pa.Array, b: pa.Array, below: int | None = None) -> np.ndarray:
 
 
 def _block_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs across components of lists of any length (key, cid, comp, n, sketch, keys) that pass the estimate.
+    """Pairs across components of lists of any length (key, cid, comp, n, sketch, keys, wide) that pass the estimate.
 
     Members of a list are cut into blocks in order of component, so that blocks of one component skip
     each other. A pair of classes is compared only in the first list that both are in.
     """
     order = Window.partitionBy("key").orderBy("comp", "n", "cid")
     rows = members.withColumn("blk", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    blocks = rows.groupBy("key", "blk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.collect_list(F.struct("cid", "comp", "n", "sketch", "keys")).alias("m"))
+    blocks = rows.groupBy("key", "blk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.collect_list(F.struct("cid", "comp", "n", "sketch", "keys", "wide")).alias("m"))
     blocks = materialize(blocks, "list-blocks")
     other = blocks.select("key", F.col("blk").alias("blk2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("m").alias("m2"))
     met = blocks.join(other, "key").where("blk <= blk2 AND NOT (low = high AND low2 = high2 AND low = low2)")
@@ -311,7 +332,9 @@ def _block_pairs(members: DataFrame, similarity: float) -> DataFrame:
                 small, large = np.minimum(na[:, None], nb[None]), np.maximum(na[:, None], nb[None])
                 enough = (_common(ka, kb) >= LEAST_RUNS) | (small <= SMALL)
                 i, j = np.nonzero((oa[:, None] != ob[None]) & (small >= similarity * large - 1e-9) & enough & (_common(ka, kb, key) == 0))
-                keep = _passes(sa[i], sb[j], na[i], nb[j], similarity)
+                keep = np.flatnonzero(_passes(sa[i], sb[j], na[i], nb[j], similarity))
+                wa, wb = _matrix(left.values.field("wide"), WIDE, np.uint32), _matrix(right.values.field("wide"), WIDE, np.uint32)
+                keep = keep[np.concatenate([_passes(wa[i[k]], wb[j[k]], na[i[k]], nb[j[k]], similarity) for k in np.array_split(keep, len(keep) // 1024 + 1)])]
                 yield pa.RecordBatch.from_arrays([pa.array(ca[i[keep]], pa.int64()), pa.array(cb[j[keep]], pa.int64())], ["a", "b"])
 
     return met.select("key", "m", "m2").mapInArrow(run, "a long, b long").distinct()
