@@ -15,3 +15,21 @@ def test_similar_vectors_with_smaller_ids(spark, tmp_path):
     rows = [(57, [1.0, 0.0], 1), (100, [1.0, 0.0], 1), (130, [1.0, 0.0], 1), (200, [1.0, 0.0], 1), (58, [0.0, 1.0], 1), (59, [1.0, 0.0], 2)]
     got = answer(spark, tmp_path, "jon_44_similar_vectors", {"embeddings": (rows, "vec_id long, embedding array<float>, label int")})
     assert [(a, b) for a, b, _ in got] == [(100, 130), (100, 200), (100, 57), (200, 130), (200, 57)]
+
+
+def test_union_of_ports_by_whole_name(spark, tmp_path):
+    """Names that share four last characters stay apart; better rank, then v1, then the smaller key; seeds fill gaps only."""
+    tables = {
+        "customer": ([("Customer#000000001", 1, 5.0), ("Customer#000010001", 10001, 9.0), ("Customer#000000002", 2, -5.0), ("Customer#000000003", 3, 7.0), (None, 4, 1.0)], "c_name string, c_custkey long, c_acctbal double"),
+        "supplier": ([("Supplier#000000002", 2, 1.0), ("Supplier#000000003", 3, 7.0), ("Supplier#", 5, 1.0), ("Supplier#000000006", 6, None)], "s_name string, s_suppkey long, s_acctbal double"),
+        "part": ([(1, 900.0), (8, 901.0), (12345678901, 902.0)], "p_partkey long, p_retailprice double"),
+    }
+    assert answer(spark, tmp_path, "jon_39_union_ports", tables) == [
+        ("000000001", "v1", 1, 5.0),
+        ("000000002", "run", 2, 1.0),
+        ("000000003", "v1", 3, 7.0),
+        ("000000006", "run", 6, 0.0),
+        ("000000008", "seed", 8, 901.0),
+        ("000010001", "v1", 10001, 9.0),
+        ("12345678901", "seed", 12345678901, 902.0),
+    ]

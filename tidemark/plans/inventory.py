@@ -161,11 +161,12 @@ def jon_31(spark, d):
     return n.join(F.broadcast(r), F.contains(a, F.substring(b, 1, 2)) | F.contains(b, a)).select("r_name", "n_name")  # region is a fixed table of 5 rows
 
 
-@register("jon_39_best_of_union", """
+@register("jon_best_by_suffix", """
 SELECT name, arg_max(src, (ok, score)) AS src, max(score) AS best FROM (
  SELECT upper(substr(c_name, -4)) AS name, 'v1' AS src, (c_acctbal > 0)::INT AS ok, c_acctbal AS score FROM customer UNION ALL
  SELECT upper(substr(s_name, -4)), 'run', (s_acctbal > 0)::INT, s_acctbal FROM supplier) GROUP BY name""")
-def jon_39(spark, d):
+def jon_best_by_suffix(spark, d):
+    """Best of two tables by the last four characters of a name, which many names share; JON-39 is jon_39_union_ports."""
     side = lambda t, p, src: table(spark, d, t).select(F.upper(F.substring(f"{p}_name", -4, 4)).alias("name"), F.lit(src).alias("src"), (F.col(f"{p}_acctbal") > 0).cast("int").alias("ok"), F.col(f"{p}_acctbal").alias("score"))
     return side("customer", "c", "v1").unionByName(side("supplier", "s", "run")).groupBy("name").agg(F.max_by("src", F.struct("ok", "score")).alias("src"), F.max("score").alias("best"))
 

@@ -62,6 +62,29 @@ def jon_48(spark, d):
     return e.select("event_id", F.round(F.when(F.col("nxt").isNull() | (F.col("nts") == F.col("ts")), F.col("value")).otherwise(F.col("value") + (F.col("nxt") - F.col("value")) * 0.5), 4).alias("mid"))
 
 
+_PORT = "substr(regexp_replace(" + _FOLD.format(c="regexp_replace({c}, '^.*#', '')") + ", '[^a-z0-9]', '', 'g'), 1, 40)"
+
+
+@register("jon_39_union_ports", f"""
+WITH ports AS (SELECT {_PORT.format(c="c_name")} AS name, 'v1' AS src, c_custkey AS key, coalesce(c_acctbal > 0, false) AS ok, c_custkey IS NOT NULL AS geo, coalesce(c_acctbal, 0) AS score FROM customer UNION ALL
+ SELECT {_PORT.format(c="s_name")}, 'run', s_suppkey, coalesce(s_acctbal > 0, false), s_suppkey IS NOT NULL, coalesce(s_acctbal, 0) FROM supplier),
+best AS (SELECT name, src, key, score FROM ports WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY ok DESC, geo DESC, score DESC, src DESC, key NULLS LAST) = 1),
+seeds AS (SELECT printf('%09d', p_partkey) AS name, min(p_partkey) AS key, max(p_retailprice) AS score FROM part WHERE p_partkey IS NOT NULL GROUP BY 1)
+SELECT * FROM best UNION ALL SELECT name, 'seed', key, score FROM seeds WHERE NOT EXISTS (FROM best WHERE best.name = seeds.name)""")
+def jon_39(spark, d):
+    """Best port of each name (characters after '#') of v1 and run; equal ones go to v1, then to the smaller key. Seeds fill gaps only."""
+
+    def side(t, p, key, src):
+        lat, lon = geo.synthetic_lat(F.col(key)), geo.synthetic_lon(F.col(key))
+        ranks = [F.coalesce(F.col(f"{p}_acctbal") > 0, F.lit(False)).alias("ok"), (lat.isNotNull() & lon.isNotNull()).alias("geo"), F.coalesce(f"{p}_acctbal", F.lit(0.0)).alias("score"), F.lit(src).alias("src"), (-F.col(key)).alias("minus_key")]
+        return table(spark, d, t).select(text.normalize_name(F.regexp_replace(f"{p}_name", "^.*#", "")).alias("name"), F.struct(*ranks).alias("rank")).where("name <> ''")
+
+    ports = side("customer", "c", "c_custkey", "v1").unionByName(side("supplier", "s", "s_suppkey", "run"))
+    best = ports.groupBy("name").agg(F.max("rank").alias("rank")).select("name", "rank.src", (-F.col("rank.minus_key")).alias("key"), "rank.score")
+    seeds = table(spark, d, "part").where("p_partkey IS NOT NULL").groupBy(F.format_string("%09d", "p_partkey").alias("name")).agg(F.min("p_partkey").alias("key"), F.max("p_retailprice").alias("score"))
+    return best.unionByName(seeds.join(best, "name", "left_anti").select("name", F.lit("seed").alias("src"), "key", "score"))
+
+
 @register("agg_07_pivot", "SELECT c_nationkey, count(*) FILTER (c_mktsegment = 'BUILDING') AS building, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machinery FROM customer GROUP BY 1")
 def agg_07(spark, d):
     return table(spark, d, "customer").groupBy("c_nationkey").pivot("c_mktsegment", ["BUILDING", "MACHINERY"]).agg(F.count(F.lit(1))).select("c_nationkey", F.coalesce("BUILDING", F.lit(0)).alias("building"), F.coalesce("MACHINERY", F.lit(0)).alias("machinery"))
