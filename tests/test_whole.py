@@ -33,3 +33,31 @@ def test_union_of_ports_by_whole_name(spark, tmp_path):
         ("000010001", "v1", 10001, 9.0),
         ("12345678901", "seed", 12345678901, 902.0),
     ]
+
+
+def test_review_report_of_three_tables(spark, tmp_path):
+    """Odd ids, ids of one table alone, the last comment that is not blank, actions of comments and choices, summary."""
+    tables = {
+        "conversations": ([(1, 2, "see HTTP://a.b/c). and http://a.b/c, HTTP://a.b/c"), (1, 1, "old"), (1, 3, " \n\t"), (5, 1, "only a comment"), (8, 1, " ")], "conv_id long, turn long, text string"),
+        "labels": ([(1, 1, 0), (7, 0, 1), (9, None, None)], "doc_id long, quality int, toxic int"),
+        "documents": ([(1, "en", 1500), (3, "fr", 20)], "doc_id long, lang string, n_chars long"),
+    }
+    got = answer(spark, tmp_path, "agg_15_review_report", tables)
+    n = None
+    assert {x[1:9] for x in got if x[0] == "item"} == {
+        ("project", 1, "see HTTP://a.b/c). and http://a.b/c, HTTP://a.b/c", 2, 1, 0, "en", True),
+        ("capitainerie", 3, n, n, n, n, "fr", False),
+        ("eez", 5, "only a comment", 1, n, n, n, False),
+        ("marina", 7, n, n, 0, 1, n, False),
+    }
+    assert sorted((x[2], *x[9:11]) for x in got if x[0] == "action") == [
+        (1, "suggested_urls", "HTTP://a.b/c"),
+        (1, "suggested_urls", "http://a.b/c"),
+        (1, "td_kept", "HTTP://a.b/c"),
+        (1, "td_kept", "http://a.b/c"),
+        (1, "td_kept", "quality"),
+        (1, "td_kept", "toxic"),
+        (7, "td_dropped", "quality"),
+        (7, "td_dropped", "toxic"),
+    ]
+    assert sorted((x[1], *x[11:]) for x in got if x[0] == "summary") == [("capitainerie", 1, 0, 0), ("eez", 1, 1, 0), ("marina", 1, 0, 0), ("project", 1, 1, 1)]

@@ -243,9 +243,10 @@ def agg_12(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(12)
 
 
-@register("agg_15_latest_of_three", """
+@register("agg_label_full_outer", """
 SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, l.quality, l.toxic FROM (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l ON d.doc_id = l.doc_id""")
-def agg_15(spark, d):
+def agg_label_full_outer(spark, d):
+    """Even documents and all labels; AGG-15 is agg_15_review_report."""
     return table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "full_outer")
 
 

@@ -90,6 +90,50 @@ def agg_07(spark, d):
     return table(spark, d, "customer").groupBy("c_nationkey").pivot("c_mktsegment", ["BUILDING", "MACHINERY"]).agg(F.count(F.lit(1))).select("c_nationkey", F.coalesce("BUILDING", F.lit(0)).alias("building"), F.coalesce("MACHINERY", F.lit(0)).alias("machinery"))
 
 
+_KINDS = ("eez", "project", "marina", "capitainerie", "amp")
+_KIND = f"{list(_KINDS)}[id % 5 + 1]"
+_STRIP = " \t\r\n"
+
+
+@register("agg_15_review_report", f"""
+WITH said AS (SELECT id, turn, comment FROM (SELECT conv_id AS id, turn, trim(text, '{_STRIP}') AS comment FROM conversations) WHERE id IS NOT NULL AND comment <> ''
+ QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn DESC NULLS LAST, comment DESC) = 1),
+choice AS (SELECT doc_id AS id, max(quality) AS quality, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1 HAVING count(quality) + count(toxic) > 0),
+gold AS (SELECT doc_id AS id, max(lang) AS lang, coalesce(bool_or(n_chars >= 1000), false) AS gold FROM documents WHERE doc_id IS NOT NULL GROUP BY 1),
+item AS (SELECT kind, id, comment, turn, quality, toxic, lang, coalesce(gold, false) AS gold FROM (SELECT {_KIND} AS kind, * FROM said) FULL JOIN (SELECT {_KIND} AS kind, * FROM choice) USING (kind, id) FULL JOIN (SELECT {_KIND} AS kind, * FROM gold) USING (kind, id)),
+url AS (SELECT kind, id, unnest(list_distinct(list_transform(regexp_extract_all(comment, '(?i)https?://[^\\s,;|<>"'']+'), lambda x: rtrim(x, ').,;]')))) AS target FROM item),
+action AS (SELECT kind, id, 'suggested_urls' AS action, target FROM url UNION ALL SELECT kind, id, 'td_kept', target FROM url
+ UNION ALL SELECT kind, id, CASE quality WHEN 1 THEN 'td_kept' ELSE 'td_dropped' END, 'quality' FROM item WHERE quality IS NOT NULL UNION ALL SELECT kind, id, CASE toxic WHEN 1 THEN 'td_dropped' ELSE 'td_kept' END, 'toxic' FROM item WHERE toxic IS NOT NULL)
+SELECT 'item' AS section, kind, id, comment, turn, quality, toxic, lang, gold, NULL AS action, NULL AS target, NULL AS fiches, NULL AS comments, NULL AS golds FROM item
+UNION ALL BY NAME SELECT 'action' AS section, * FROM action
+UNION ALL BY NAME SELECT 'summary' AS section, kind, count(*) AS fiches, count(comment) AS comments, count(*) FILTER (gold) AS golds FROM item GROUP BY kind""")
+def agg_15(spark, d):
+    """Review report as rows of three sections: items per (kind, id) from all rows of three tables, actions, summary per kind.
+
+    Comments are turns of conversations (the last one that is not blank counts), choices are labels, gold marks are
+    documents of 1,000 characters or more; the kind is made from the id. URLs of a comment are told apart as written.
+    """
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("id") % 5).cast("int"))
+    keyed = lambda t, key: table(spark, d, t).withColumn("id", F.col(key)).where("id IS NOT NULL").withColumn("kind", kind).groupBy("kind", "id")
+    said = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.struct("turn", F.trim("text", F.lit(_STRIP)).alias("comment")).alias("said"))
+    said = said.where("id IS NOT NULL AND said.comment <> ''").withColumn("kind", kind).groupBy("kind", "id").agg(F.max("said").alias("said")).select("kind", "id", "said.comment", "said.turn")
+    choice = keyed("labels", "doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality IS NOT NULL OR toxic IS NOT NULL")
+    gold = keyed("documents", "doc_id").agg(F.max("lang").alias("lang"), F.bool_or(F.col("n_chars") >= 1000).alias("gold"))
+    item = said.join(choice, ["kind", "id"], "full_outer").join(gold, ["kind", "id"], "full_outer").withColumn("gold", F.coalesce("gold", F.lit(False)))
+
+    urls = F.array_distinct(F.transform(F.regexp_extract_all("comment", F.lit("(?i)https?://[^\\s,;|<>\"']+"), F.lit(0)), lambda u: F.rtrim(u, F.lit(").,;]"))))
+    one = lambda action, target: F.struct(F.lit(action).alias("action"), target.alias("target"))
+    of_urls = F.coalesce(F.flatten(F.transform(urls, lambda u: F.array(one("suggested_urls", u), one("td_kept", u)))), F.array().cast("array<struct<action:string,target:string>>"))
+    chosen = lambda c, yes, no: F.when(F.col(c) == 1, one(yes, F.lit(c))).when(F.col(c).isNotNull(), one(no, F.lit(c)))
+    of_choices = F.filter(F.array(chosen("quality", "td_kept", "td_dropped"), chosen("toxic", "td_dropped", "td_kept")), lambda x: x.isNotNull())
+    action = item.select("kind", "id", F.explode(F.concat(of_urls, of_choices)).alias("a")).select("kind", "id", "a.action", "a.target")
+    summary = item.groupBy("kind").agg(F.count(F.lit(1)).alias("fiches"), F.count("comment").alias("comments"), F.count_if("gold").alias("golds"))
+
+    section = lambda name, df: df.withColumn("section", F.lit(name))
+    every = section("item", item).unionByName(section("action", action), True).unionByName(section("summary", summary), True)
+    return every.select("section", "kind", "id", "comment", "turn", "quality", "toxic", "lang", "gold", "action", "target", "fiches", "comments", "golds")
+
+
 @register("agg_17_token_scores", "SELECT lang, round(sum((CASE WHEN quality = 1 THEN 0.15 ELSE -0.20 END)::DOUBLE), 4) AS score, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def agg_17(spark, d):
     j = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
