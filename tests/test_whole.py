@@ -69,3 +69,8 @@ def test_names_of_whole_texts(spark, tmp_path):
     for name, wanted in (("str_01_name_key", ["evianport12", "a" * 40, "harbourofthelongnameandofmorethanfortyletters"[:40]]), ("str_02_spaced_name", ["evian port 12", ("a " * 13)[:25], "harbour of the long name "])):
         got = answer(spark, tmp_path / name, name, {"documents": (rows, "doc_id long, text string")})
         assert got == list(zip((1, 2, 3), wanted))
+
+
+def test_names_claim_no_survey_row_that_is_missing():
+    missing = ("agg_17_", "jon_06_", "snk_01_", "stm_01_", "str_30_")
+    assert not [q for q in catalog.queries() if q.startswith(missing)]

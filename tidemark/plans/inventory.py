@@ -125,11 +125,11 @@ def jon_04(spark, d):
     return match.baseline_diff(p.where("key % 5 <> 0"), later)
 
 
-@register("jon_06_listing_coverage", """
+@register("jon_exact_listing_counts", """
 WITH run AS (SELECT DISTINCT c_nationkey AS zone, c_mktsegment AS name FROM customer WHERE c_acctbal > 5000), listing AS (SELECT DISTINCT c_nationkey AS zone, c_mktsegment AS name FROM customer WHERE c_custkey % 3 = 0)
 SELECT coalesce(r.zone, l.zone) AS zone, count(*) FILTER (r.zone IS NOT NULL AND l.zone IS NOT NULL) AS matched, count(*) FILTER (l.zone IS NULL) AS run_only, count(*) FILTER (r.zone IS NULL) AS listing_only
 FROM run r FULL JOIN listing l ON r.zone = l.zone AND r.name = l.name GROUP BY 1""")
-def jon_06(spark, d):
+def jon_exact_listing_counts(spark, d):
     c = table(spark, d, "customer")
     side = lambda where, flag: c.where(where).select(F.col("c_nationkey").alias("zone"), F.col("c_mktsegment").alias("name")).distinct().withColumn(flag, F.lit(True))
     met = side("c_acctbal > 5000", "r").join(side("c_custkey % 3 = 0", "l"), ["zone", "name"], "full_outer")
@@ -458,8 +458,8 @@ def str_20(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("https?://[^\\s\"'<>]+"), F.lit(0))).cast("long").alias("n"))
 
 
-@register("str_30_token_jaccard", "SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t))*1.0/len(list_distinct(list_concat(a.t, b.t))), 5) AS jaccard FROM (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(" + _FOLD.format(c="text") + ", '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM benchmark) a JOIN (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(" + _FOLD.format(c="text") + ", '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM benchmark) b ON b.item_id = a.item_id + 1")
-def str_30(spark, d):
+@register("str_next_item_jaccard", "SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t))*1.0/len(list_distinct(list_concat(a.t, b.t))), 5) AS jaccard FROM (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(" + _FOLD.format(c="text") + ", '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM benchmark) a JOIN (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(" + _FOLD.format(c="text") + ", '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM benchmark) b ON b.item_id = a.item_id + 1")
+def str_next_item_jaccard(spark, d):
     t = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("t"))
     a, b = t.select(F.col("item_id").alias("a"), F.col("t").alias("ta")), t.select(F.col("item_id").alias("b"), F.col("t").alias("tb"))
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(text.token_jaccard(F.col("ta"), F.col("tb")), 5).alias("jaccard"))

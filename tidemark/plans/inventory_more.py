@@ -19,8 +19,8 @@ def prj_01(spark, d):
     return f.select("c_custkey", "f.type", F.round(F.get(at, F.lit(0)), 4).alias("lon"), F.round(F.get(at, F.lit(1)), 4).alias("lat"), "f.properties.kind")
 
 
-@register("snk_01_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_acctbal + 1, c_mktsegment FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 3 = 0")
-def snk_01(spark, d):
+@register("snk_upsert_overwrite", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_acctbal + 1, c_mktsegment FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 3 = 0")
+def snk_upsert_overwrite(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     return sinks.upsert(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), "c_custkey", ("c_mktsegment",))
 
@@ -134,8 +134,8 @@ def agg_15(spark, d):
     return every.select("section", "kind", "id", "comment", "turn", "quality", "toxic", "lang", "gold", "action", "target", "fiches", "comments", "golds")
 
 
-@register("agg_17_token_scores", "SELECT lang, round(sum((CASE WHEN quality = 1 THEN 0.15 ELSE -0.20 END)::DOUBLE), 4) AS score, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1")
-def agg_17(spark, d):
+@register("agg_lang_scores", "SELECT lang, round(sum((CASE WHEN quality = 1 THEN 0.15 ELSE -0.20 END)::DOUBLE), 4) AS score, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def agg_lang_scores(spark, d):
     j = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     return j.groupBy("lang").agg(F.round(F.sum(F.when(F.col("quality") == 1, 0.15).otherwise(-0.20)), 4).alias("score"), F.count(F.lit(1)).alias("n"))
 
@@ -251,8 +251,8 @@ def arr_json(spark, d):
     return table(spark, d, "events").where("props IS NOT NULL AND props <> ''").select("event_id", F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))
 
 
-@register("stm_01_freshness", "SELECT user_id, max(ts) AS last, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 7 DAY AS stale FROM events GROUP BY 1")
-def stm_01(spark, d):
+@register("agg_stale_users", "SELECT user_id, max(ts) AS last, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 7 DAY AS stale FROM events GROUP BY 1")
+def agg_stale_users(spark, d):
     e = table(spark, d, "events").select("user_id", "ts")
     newest = e.agg(F.max("ts").alias("newest"))
     return e.groupBy("user_id").agg(F.max("ts").alias("last")).join(F.broadcast(newest), F.lit(True)).select("user_id", "last", (F.col("last") < F.col("newest") - F.expr("INTERVAL 7 DAY")).alias("stale"))  # one row
