@@ -8,9 +8,10 @@ squared distance exceeds CUTOFF is rejected.
 
 Every estimate is a sum per cell of counts, values and products, and the order statistic is read
 from a histogram of log-distances; both combine on the map side, so a source with a third of all
-rows costs no more than any other. Languages and sources with under MIN_CELL usable rows share a
-cell per language, then one for all; with under MIN_FIT rows there is no estimate and only the base
-rules speak. Scatter gets a floor per statistic, for statistics that are constant in most texts.
+rows costs no more than any other. Languages and sources with under MIN_CELL usable rows are
+judged by all usable rows of their language, or by all rows where these are under MIN_CELL too; with
+under MIN_FIT rows in all there is no estimate and only the base rules speak. There are STEPS
+concentration steps from one start, without a test of convergence. Scatter gets a floor per statistic, for statistics that are constant in most texts.
 
 Defined results: null and empty texts have no words and fail the base rules; null lang and source
 are languages and sources of their own; an empty table gives an empty result; repeated rows are
@@ -23,6 +24,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tidemark.llm.common import SPACES, materialize, native_words, read_table, small_enough, text_or_empty
 
@@ -182,12 +184,17 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     usable = stats.where(~F.col("base_failed"))
     groups = usable.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
-    small = F.expr(f"sum(CASE WHEN n < {MIN_CELL} THEN n END) OVER (PARTITION BY _lang)")
     own, lang = F.to_json(F.struct("_lang", "_source")), F.to_json(F.struct("_lang"))
-    cells = materialize(groups.select("_lang", "_source", F.when(F.col("n") >= MIN_CELL, own).when(small >= MIN_CELL, lang).otherwise("{}").alias("cell")), "cells")
+    in_lang = F.expr("sum(n) OVER (PARTITION BY _lang)")
+    judge = materialize(groups.select("_lang", "_source", F.when(F.col("n") >= MIN_CELL, own).when(in_lang >= MIN_CELL, lang).otherwise("{}").alias("cell")), "judging-cells")
+    # a row is in the estimate of its own cell, and in the wider ones that judge any small group
+    by_lang = F.max(F.col("cell") == lang).over(Window.partitionBy("_lang"))
+    by_all = judge.agg(F.coalesce(F.bool_or(F.col("cell") == "{}"), F.lit(False)).alias("by_all"))
+    fits = F.array_distinct(F.array_compact(F.array("cell", F.when(F.col("by_lang"), lang), F.when(F.col("by_all"), F.lit("{}")))))
+    cells = materialize(judge.withColumn("by_lang", by_lang).crossJoin(F.broadcast(by_all)).select("_lang", "_source", "cell", fits.alias("fits")), "cells")  # by_all is one row
     few = small_enough(cells, MAX_BROADCAST_CELLS)
     celled = stats.join(F.broadcast(cells) if few else cells, ["_lang", "_source"], "left")
-    params = mcd_fit(celled.where(~F.col("base_failed")).select("cell", *FLOORS))
+    params = mcd_fit(celled.where(~F.col("base_failed")).select(F.explode("fits").alias("cell"), *FLOORS))
     judged = _distance(celled.join(F.broadcast(params) if few else params, "cell", "left"))
     return judged.select(
         "doc_id",
