@@ -74,8 +74,8 @@ def test_against_brute_force(spark):
 
 def test_long_lists_are_compared_in_full(spark, monkeypatch):
     monkeypatch.setattr(M, "SHORT_LIST", 3)
-    monkeypatch.setattr(M, "PIVOTS", 1)
-    monkeypatch.setattr(M, "PIVOT_ROUNDS", 1)
+    monkeypatch.setattr(M, "BLOCK", 4)
+    monkeypatch.setattr("tidemark.llm.common.SALT_ROWS", 4)
     rows = corpus(1)
     got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=2).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in got if r["doc_id"] is not None} == brute(rows, 2)

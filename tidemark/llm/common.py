@@ -61,6 +61,26 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+#: Rows of one key that may meet in a task before the key is salted, and keys that are salted at most.
+SALT_ROWS, MAX_SALTED = 256, 1 << 16
+
+
+def salted_join(rows: DataFrame, side: DataFrame, key: str, spread: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """rows joined with side (one row per key), hot keys spread over salts by the column spread.
+
+    A key with more than SALT_ROWS rows, or more than 1 in MAX_SALTED of all, gets one salt per so many
+    rows and its row of side a copy per salt. The list of such keys has at most MAX_SALTED rows, so it
+    is broadcast. counted: a table with the same keys as rows that is cheaper to count.
+    """
+    counted = rows if counted is None else counted
+    floor = max(SALT_ROWS, counted.count() // MAX_SALTED)
+    hot = F.broadcast(counted.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > floor).select(key, F.ceil(F.col("_n") / floor).alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts)).drop("_parts")
+    right = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers of the session, once: they may not have it on their path."""
     import os

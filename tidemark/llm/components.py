@@ -1,6 +1,6 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round is a pair of joins and minimum-aggregations; edges stay in tables of the shared folder,
+Every round is a pair of joins and minimum-aggregations; joins salt the hubs of stars; edges stay in tables of the shared folder,
 and only two numbers a round reach the driver. At the end each node points to the smallest node of
 its component.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, salted_join
 
 MAX_ROUNDS = 60
 
@@ -18,13 +18,13 @@ MAX_ROUNDS = 60
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return salted_join(both.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    met = down.join(least, "a")
+    met = salted_join(down, least, "a", "b")
     return met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 

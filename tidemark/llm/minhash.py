@@ -2,24 +2,30 @@
 
 1. A document's set holds the 64-bit hashes of its distinct word shingles; its sketch is the K
    smallest. Documents with equal sets form one class and are linked without pairs.
-2. Inverted lists: a class is listed under each run of RUN consecutive retained values. Two sets of
-   similarity 0.8 share such a run but in a case in about 10^7 (runs of two are used for small sets,
-   where that is certain when the sketch holds the whole set). Single values would list a class with
-   every other that holds a common shingle; runs rarely do.
-3. In the first round each list links its members to its smallest class only. Candidate pairs, with
-   their overlap (lists in common), are filtered by the union-sketch estimate, and pairs that remain
-   are verified by the exact Jaccard similarity of the full sets, built again from the texts.
-4. Lists whose members lie in one component are done. In the others only pairs across components
-   matter: short lists give all such pairs; long ones are tried against a few pivots.
-   What is still apart then shares a long passage but is no copy. A class with fewer than LEAST_RUNS
-   long lists has no partner that short lists do not show; the others are compared by their sketches
-   in blocks, all pairs across components, and only pairs that pass the estimate are written. No list
-   is cut, and large groups of copies cost a few comparisons per member rather than all pairs.
-5. Connected components over the links between classes name the groups.
+2. Inverted lists of retained values: two sets of the similarity asked for share at least `t` of
+   their retained values, so if all classes order theirs alike, rarest first, both hold a shared one
+   among their first K - t + 1. Only these are listed; common shingles are in nobody's list. The order
+   comes from counts of all retained values in CELLS cells, 1 byte each: a bounded broadcast at any
+   size, and cells that coincide only make lists longer. For sets that their sketch holds whole, and
+   for somewhat larger ones, t is certain; for others fewer than t values are shared by a pair just
+   at the bound in one case in 10^7.
+3. Lists of up to SHORT_LIST classes give all pairs. Longer ones, which near copies fill, link each
+   class to the one with the fewest values of its own.
+4. Pairs are filtered by the union-sketch estimate (4.5 standard errors: a pair just at the bound is
+   lost in one case in 10^5), and what remains is verified by the exact Jaccard similarity of the
+   full sets, built again from the texts.
+5. Long lists whose classes lie in one component by now are done. The classes of all others are listed
+   once more, by their full sets: there the prefixes are as short as the similarity allows, and a
+   pair is dropped where the values after the shared one cannot suffice. Blocks of such a list are
+   compared across components only; pairs that pass go through step 4. So no list is cut and no
+   link of a large group is lost, while groups of copies never become all their pairs.
+6. Connected components over the links between classes name the groups.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text of
 fewer words than a shingle is one shingle; rows with a null id are linked with nothing and have a
-null component; rows that repeat an id are one document; other columns are ignored.
+null component; of rows that repeat an id each is in the component of its own text, and classes with
+the same smallest id are one; very long texts are one set each, about as large as the text; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,26 +37,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import blocks as B
-from tidemark.llm.common import materialize, read_table, ship_package
+from tidemark.llm.common import materialize, read_table, salted_join, ship_package
 from tidemark.llm.components import components
 
 K = 64
-#: Values of a wide sketch, of 4 bytes: made for classes with candidates, it settles most sets exactly.
-WIDE = 512
-#: Sets of up to SMALL shingles are listed under runs of two, larger ones under runs of three.
-SMALL = 64
-#: Lists up to this length give all pairs across components at once.
+#: Cells in which retained values are counted, 1 byte each.
+CELLS, SHARDS = 1 << 22, 16
+#: Chance that a pair just at the similarity shares fewer retained values than lists ask for.
+MISS = 1e-7
+#: Lists up to this length give all pairs at once.
 SHORT_LIST = 40
-PIVOTS, PIVOT_ROUNDS = 6, 1
 #: Members of a block when the rest of a long list is compared.
-BLOCK = 128
-#: A pair that only long lists could show shares at least so many of them: of 62 runs of three retained
-#: values, two sets of similarity 0.8 share fewer in a case in about 10^5 to 10^6.
-LEAST_RUNS = 5
+BLOCK = 1024
+#: Keys with at least this share of all rows are broadcast: there are at most MAX_HOT of them.
+MAX_HOT = 1 << 16
 SLICE_BYTES = 2 << 20
 
 
@@ -103,39 +107,90 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sketch binary")
 
 
-def _postings(classes: DataFrame, similarity: float) -> DataFrame:
-    """(key, cid) of the runs of retained values of each class that can have a partner at all."""
-    least = math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 62
-    overlap = math.floor(similarity * SMALL)
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of values per row, and all values, of packed sets or sketches."""
+    raw = [x.as_buffer() for x in column]
+    return np.array([len(x) // 8 for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint64)
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """Size class of the count of each cell, over all values of sets (data)."""
+    width = CELLS // SHARDS
+
+    def count(batches):
+        total = np.zeros(CELLS, np.uint32)
+        for b in batches:
+            cells, n = np.unique(_values(b.column(0))[1] & np.uint64(CELLS - 1), return_counts=True)
+            total[cells] += n.astype(np.uint32)
+        for k in range(SHARDS):
+            part = total[k * width : (k + 1) * width]
+            at = np.flatnonzero(part)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([B.pack_ints(np.diff(at, prepend=0).astype(np.uint32))], pa.binary()), pa.array([B.pack_ints(part[at])], pa.binary())], ["shard", "at", "n"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(width)
+        for at, n in zip(rows.column("at"), rows.column("n")):
+            total[np.cumsum(B.unpack_ints(at.as_py(), np.uint32), dtype=np.int64)] += B.unpack_ints(n.as_py(), np.uint32)
+        size = np.minimum(np.round(6 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
+        return pa.table({"shard": rows.column("shard").slice(0, 1), "size": pa.array([size.tobytes()], pa.binary())})
+
+    found = sets.mapInArrow(count, "shard int, at binary, n binary").groupBy("shard").applyInArrow(add, "shard int, size binary").collect()
+    out = np.zeros(CELLS, np.uint8)
+    for shard, size in found:
+        out[shard * width : (shard + 1) * width] = np.frombuffer(bytes(size), np.uint8)
+    return out
+
+
+def least_overlap(sizes: np.ndarray, similarity: float, k: int = K) -> np.ndarray:
+    """Retained values that a set of each size shares at least with any set of the similarity asked for."""
+    tail, likely = 0.0, 0
+    while tail <= MISS and likely <= k:
+        tail += math.comb(k, likely) * similarity**likely * (1 - similarity) ** (k - likely)
+        likely += 1
+    certain = k - np.floor(sizes * (1 - similarity) / similarity + 1e-9)
+    whole = np.ceil(similarity * sizes - 1e-9)
+    return np.where(sizes <= similarity * k, whole, np.maximum(certain, likely - 1)).astype(np.int64)
+
+
+def _postings(sets: DataFrame, order, similarity: float, whole: bool) -> DataFrame:
+    """(key, cid, n, own, place) of the rarest values of sets (cid, n, data): as many as a shared one is certainly among.
+
+    own: share of values that no other set seems to hold; place: values before this one. whole: data holds full sets, not sketches.
+    """
 
     def run(batches):
         for b in batches:
-            ids, sizes = np.asarray(b.column(0)), np.asarray(b.column(1))
-            data = b.column(2)
-            keys, owners = [], []
-            held = np.array([len(x.as_buffer()) // 8 for x in data], np.int64)
-            values = np.frombuffer(b"".join(x.as_buffer() for x in data), np.uint64)
-            ends = np.repeat(np.cumsum(held), held)
+            ids, sizes = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)
+            held, values = _values(b.column(2))
             owner = np.repeat(np.arange(len(held)), held)
-            at = np.arange(len(values))
-            pair_at = at[at + 1 < ends]
-            pair = B.mix(values[pair_at], values[pair_at + 1])
-            two = sizes[owner[pair_at]] <= SMALL
-            keys.append(pair[two])
-            owners.append(owner[pair_at][two])
-            three = (pair_at + 2 < ends[pair_at]) & (sizes[owner[pair_at]] >= overlap)
-            keys.append(B.mix(pair[three], values[pair_at[three] + 2]))
-            owners.append(owner[pair_at][three])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[np.concatenate(owners)], pa.int64())], ["key", "cid"])
-
-    return classes.where(F.col("n") >= least).select("cid", "n", "sketch").mapInArrow(run, "key long, cid long")
-
-
-def _matrix(column: pa.Array, width: int = K, dtype=np.uint64) -> np.ndarray:
-    """Sketches as rows of width values; what is missing is the largest value."""
-    out = np.full((len(column), width), np.iinfo(np.uint64).max, np.uint64)
+            size = order.value[values & np.uint64(CELLS - 1)]
+            at = np.lexsort((values, size, owner))
+            values, owner, size = values[at], owner[at], size[at]
+            place = np.arange(len(values)) - np.repeat(np.cumsum(held) - held, held)
+            least = np.ceil(similarity * sizes - 1e-9).astype(np.int64) if whole else least_overlap(sizes, similarity)
+            own = np.bincount(owner, size == 0, len(held)) / np.maximum(held, 1)
+            keep = place < (held - least + 1)[owner]
+            o = owner[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values[keep].view(np.int64)), pa.array(ids[o], pa.int64()), pa.array(sizes[o]), pa.array(own[o]), pa.array(place[keep], pa.int64())],
+                ["key", "cid", "n", "own", "place"],
+            )
+
+    return sets.select("cid", "n", "data").mapInArrow(run, "key long, cid long, n long, own double, place long")
+
+
+def _with_lists(rows: DataFrame, lists: DataFrame, total: int) -> DataFrame:
+    """rows joined with lists (key, members, ...) by key. The few keys that hold a large share of all rows are not shuffled."""
+    floor = max(SHORT_LIST, total // MAX_HOT)
+    hot = F.broadcast(lists.where(F.col("members") > floor))  # at most total / floor rows
+    return rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(lists.where(F.col("members") <= floor), "key"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Sketches as rows of K values; what is missing is the largest value."""
+    out = np.full((len(column), K), np.iinfo(np.uint64).max, np.uint64)
     for k, x in enumerate(column):
-        v = np.frombuffer(x.as_buffer(), dtype)
+        v = np.frombuffer(x.as_buffer(), np.uint64)
         out[k, : len(v)] = v
     return out
 
@@ -156,16 +211,16 @@ def union_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
 
 
 def _passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the estimate is no more than 4.5 standard errors below the similarity asked for (wide sketches: 1/100 if whole)."""
+    """Whether the estimate is no more than 4.5 standard errors below the similarity asked for."""
     j, used = union_estimate(a, b, na, nb)
-    return j >= similarity - 1e-9 - np.where(used >= 1 << 30, 0.01 * (a.shape[1] == WIDE), 4.5 * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1)))
+    return j >= similarity - 1e-9 - np.where(used >= 1 << 30, 0.0, 4.5 * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1)))
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that the union-sketch estimate lets pass."""
-    c = classes.select("cid", "n", "sketch")
-    met = pairs.join(c.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(c.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
+    c = classes.select("cid", "n", "data")
+    met = salted_join(pairs.select("a", "b"), c.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("data").alias("sb")), "b", "a")
+    met = salted_join(met, c.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("data").alias("sa")), "a", "b", counted=pairs)
 
     def run(batches):
         for b in batches:
@@ -174,41 +229,30 @@ def _promising(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
                 keep = pa.array(_passes(_matrix(x.column(4)), _matrix(x.column(5)), np.asarray(x.column(2)), np.asarray(x.column(3)), similarity))
                 yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], ["a", "b"])
 
-    return met.where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, n: int, full: bool = True) -> DataFrame:
-    """(doc_id, size, wide, set) of the documents in ids(doc_id), built from their texts."""
+def _full_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(cid, n, data): full sets of classes (cid, set_id), built from the texts of docs (doc_id, text)."""
 
     def build(batches):
         for b in _slices(batches):
             offsets, s = shingle_sets(b.column(1), n)
-            raw, high, cuts = s.tobytes(), (s >> np.uint64(32)).astype(np.uint32).tobytes(), list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
-            wide = [high[4 * a : 4 * min(e, a + WIDE)] for a, e in cuts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(wide, pa.binary()), pa.array([raw[8 * a : 8 * e] if full else b"" for a, e in cuts], pa.binary())], ["doc_id", "size", "wide", "set"])
-
-    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(build, "doc_id long, size long, wide binary, set binary").dropDuplicates(["doc_id"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of their full sets, built from the texts.
+            raw, cuts = s.tobytes(), list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+            sets = [raw[8 * a : 8 * e] for a, e in cuts]
+            ids = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(np.diff(offsets), pa.int64()), pa.array(sets, pa.binary())], ["cid", "set_id", "n", "data"])
 
-    Wide sketches settle what is far from the bound first, so that few full sets travel.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(_full_sets(docs, ids, n), "sets", "none")
-    w = sets.select("doc_id", "size", "wide")
-    near = pairs.join(w.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.col("wide").alias("sb")), "b").join(w.select(F.col("doc_id").alias("a"), F.col("size").alias("na"), F.col("wide").alias("sa")), "a")
+    texts = docs.withColumnRenamed("doc_id", "cid").join(classes.select("cid"), "cid", "left_semi").select("cid", "text")
+    built = texts.mapInArrow(build, "cid long, set_id binary, n long, data binary")
+    # rows that repeat an id may have other sets
+    return built.join(classes, ["cid", "set_id"], "left_semi").dropDuplicates(["cid", "set_id"]).drop("set_id")
 
-    def settle(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                x = b.slice(at, 1024)
-                keep = pa.array(_passes(_matrix(x.column(4), WIDE, np.uint32), _matrix(x.column(5), WIDE, np.uint32), np.asarray(x.column(2)), np.asarray(x.column(3)), percent / 100))
-                yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], ["a", "b"])
 
-    pairs = near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(settle, "a long, b long")
-    met = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+    met = salted_join(pairs, sets.select(F.col("cid").alias("b"), F.col("data").alias("sb")), "b", "a")
+    met = salted_join(met, sets.select(F.col("cid").alias("a"), F.col("data").alias("sa")), "a", "b", counted=pairs)
 
     def compare(batches):
         for b in batches:
@@ -226,6 +270,42 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return materialize(met.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
 
 
+def _rest_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) across components, of the classes rest (cid, comp), that prefixes of the full sets cannot rule out."""
+    held = materialize(sets.join(rest, "cid"), "rest-sets", "none")
+    order = held.sparkSession.sparkContext.broadcast(rarity(held.select("data")))
+    posted = materialize(_postings(held, order, similarity, True).join(rest, "cid"), "rest-postings")
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    # the values from the shared one on must suffice; classes of which few are left lie in blocks of their own
+    left = (F.col("n") - F.col("place")) / F.col("n")
+    parts = F.ceil(F.col("members") / BLOCK)
+    blk = F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64("cid"), parts) * 8 + F.least(F.floor((1 - left) / (1 - similarity) * 8), F.lit(7)))
+    rows = _with_lists(posted, lists.select("key", "members"), posted.count()).select("key", blk.alias("blk"), "cid", "comp", "n", (F.col("n") - F.col("place")).alias("left"))
+    blocks = materialize(
+        rows.groupBy("key", "blk").agg(
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("left").alias("most"), F.collect_list(F.struct("cid", "comp", "n", "left")).alias("m")
+        ),
+        "list-blocks",
+    )
+    short = blocks.select("key", "blk", "low", "high", "least", "most")
+    other = short.toDF("key", "blk2", "low2", "high2", "least2", "most2")
+    share = similarity / (1 + similarity)
+    enough = F.least("most", "most2") >= share * (F.col("least") + F.col("least2")) - 1e-9
+    meet = short.join(other, "key").where("blk <= blk2 AND NOT (low = high AND low2 = high2 AND low = low2)").where(enough).select("key", "blk", "blk2")
+    met = meet.join(blocks.select("key", "blk", "m"), ["key", "blk"]).join(blocks.select("key", F.col("blk").alias("blk2"), F.col("m").alias("m2")), ["key", "blk2"])
+
+    def run(batches):
+        for b in batches:
+            for left, right in zip(b.column(0), b.column(1)):
+                (ca, oa, na, la), (cb, ob, nb, lb) = ([np.asarray(v.field(x)) for x in ("cid", "comp", "n", "left")] for v in (left.values, right.values))
+                need = share * (na[:, None] + nb[None]) - 1e-9
+                fits = np.minimum(na[:, None], nb[None]) >= similarity * np.maximum(na[:, None], nb[None]) - 1e-9
+                i, j = np.nonzero((oa[:, None] != ob[None]) & (np.minimum(la[:, None], lb[None]) >= need) & fits)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ca[i], cb[j]), pa.int64()), pa.array(np.maximum(ca[i], cb[j]), pa.int64())], ["a", "b"])
+
+    return materialize(met.select("m", "m2").mapInArrow(run, "a long, b long").distinct(), "rest-pairs")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, trace=None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     say = trace or (lambda *_: None)
@@ -234,110 +314,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(sketches(texts, n), "sketches")
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    best = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch")).alias("x")
-    classes = materialize(real.groupBy("set_id").agg(best).select("set_id", F.col("x.doc_id").alias("cid"), "x.n", "x.sketch"), "classes")
+    best = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), F.col("sketch").alias("data"))).alias("x")
+    classes = materialize(real.groupBy("set_id").agg(best, F.count(F.lit(1)).alias("copies")).select("set_id", "copies", F.col("x.doc_id").alias("cid"), "x.n", "x.data"), "classes")
     texts = texts.where("doc_id IS NOT NULL")
 
-    posted = _postings(classes, similarity)
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cid").alias("first")).where("members > 1")
-    held = materialize(posted.join(lists, "key"), "lists")
-    tried = materialize(held.where("cid <> first").groupBy(F.col("first").alias("a"), F.col("cid").alias("b")).agg(F.count(F.lit(1)).alias("overlap")), "round-pairs")
-    say("lists", lambda: held.count(), lambda: tried.count())
-    near = materialize(_promising(tried.select("a", "b"), classes, similarity), "promising")
-    say("promising", lambda: near.count())
-    links = _verified(near, texts, n, percent)
+    order = docs.sparkSession.sparkContext.broadcast(rarity(classes.select("data")))
+    posted = materialize(_postings(classes, order, similarity, False), "postings")
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("own", "cid", "n")).alias("lead")).where("members > 1")
+    held = materialize(_with_lists(posted.select("key", "cid", "n"), lists, posted.count()), "lists")
+    say("postings", lambda: posted.count(), lambda: held.count())
+    m = F.col("m")
+    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    every = F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (x["cid"] < y["cid"]) & fits(x["n"], y["n"])), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b")))))
+    short = held.where(F.col("members") <= SHORT_LIST).groupBy("key").agg(F.collect_list(F.struct("cid", "n")).alias("m")).select(F.explode(every).alias("p")).select("p.a", "p.b")
+    star = held.where(F.col("members") > SHORT_LIST).where(F.col("cid") != F.col("lead.cid")).where(fits(F.col("n"), F.col("lead.n")))
+    star = star.select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b"))
+    pairs = materialize(short.unionByName(star).distinct(), "pairs")
+    sets = materialize(_full_sets(texts, classes.select("cid", "set_id").join(held.select("cid").distinct(), "cid", "left_semi"), n), "sets", "none")
+    near = materialize(_promising(pairs, classes, similarity), "promising")
+    say("pairs", lambda: pairs.count(), lambda: near.count())
+    links = _verified(near, sets, percent)
+    done = components(links)
     say("links", lambda: links.count())
 
-    def apart(done: DataFrame) -> DataFrame:
-        """Members (key, cid, members, comp) of the lists that still span components, for the links so far."""
-        found = held.join(done.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "cid", "left").select("key", "cid", "members", F.coalesce("comp", "cid").alias("comp"))
-        open_ = found.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        return materialize(found.join(open_, "key"), "open-lists")
-
-    def more_links(pairs: DataFrame, name: str) -> bool:
-        """Tries pairs that were not tried before; links found join the components."""
-        nonlocal done, tried
-        new = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), name)
-        say(name, lambda: new.count())
-        if new.isEmpty():
-            return False
-        tried = tried.unionByName(new)
-        found = _verified(materialize(_promising(new, classes, similarity), "promising"), texts, n, percent)
-        say("links", lambda: found.count())
-        if found.isEmpty():
-            return False
-        done = components(done.unionByName(found))
-        return True
-
-    tried = tried.select("a", "b")
-    done = components(links)
-    m = F.col("m")
-    across = F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (x["cid"] < y["cid"]) & (x["comp"] != y["comp"])), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b")))))
-    changed = True
-    for turn in range(PIVOT_ROUNDS):
-        left = apart(done)
-        say("open", lambda: left.count(), lambda: left.where(F.col("members") > SHORT_LIST).count())
-        order = lambda j: F.xxhash64(F.col("cid"), F.lit(turn * PIVOTS + j))  # noqa: E731, B023
-        long_lists = left.where(F.col("members") > SHORT_LIST)
-        pivots = long_lists.groupBy("key").agg(F.array(*[F.min_by(F.struct("cid", "comp"), order(j)) for j in range(PIVOTS)]).alias("pivots"))
-        pairs = long_lists.join(pivots, "key").select("cid", "comp", F.explode(F.array_distinct("pivots")).alias("p")).where("comp <> p.comp").select(F.col("cid").alias("a"), F.col("p.cid").alias("b"))
-        if turn == 0:
-            short = left.where(F.col("members") <= SHORT_LIST).groupBy("key").agg(F.collect_list(F.struct("cid", "comp")).alias("m"))
-            pairs = pairs.unionByName(short.select(F.explode(across).alias("p")).select("p.a", "p.b"))
-        changed = more_links(pairs, "pivot-pairs")
-    long_lists = (apart(done) if changed else left).where(F.col("members") > SHORT_LIST)
-    heavy = long_lists.groupBy("cid").agg(F.count(F.lit(1)).alias("runs"), F.collect_list("key").alias("keys")).join(classes.select("cid", "n", "sketch"), "cid").where((F.col("runs") >= LEAST_RUNS) | (F.col("n") <= SMALL))
-    heavy = materialize(heavy, "heavy-classes")
-    wide = _full_sets(texts, heavy.select(F.col("cid").alias("doc_id")), n, full=False).select(F.col("doc_id").alias("cid"), "wide")
-    heavy = materialize(long_lists.join(heavy.join(wide, "cid"), "cid"), "heavy-lists")
-    say("heavy", lambda: heavy.count())
-    if not heavy.isEmpty():
-        more_links(_block_pairs(heavy, similarity), "block-pairs")
-    say("components", lambda: done.count())
-
-    named = classes.select("set_id", "cid").join(done.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "cid", "left").select("set_id", F.coalesce("comp", "cid").alias("comp"))
+    found = held.where(F.col("members") > SHORT_LIST).join(done.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "cid", "left").select("key", "cid", "members", F.coalesce("comp", "cid").alias("comp"))
+    found = materialize(found, "long-lists")
+    open_ = found.groupBy("key").agg(F.max("members").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "members")
+    rest = materialize(_with_lists(found.select("key", "cid", "comp"), open_, held.count()).select("cid", "comp").distinct(), "rest")
+    if not rest.isEmpty():
+        tried = _rest_pairs(rest, sets, similarity)
+        say("rest", lambda: rest.count(), lambda: tried.count())
+        more = _verified(materialize(_promising(tried, classes, similarity), "promising"), sets, percent)
+        say("more links", lambda: more.count())
+        if not more.isEmpty():
+            done = components(done.unionByName(more))
+
+    named = classes.join(done.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "cid", "left").where("copies > 1 OR comp IS NOT NULL").select("set_id", F.coalesce("comp", "cid").alias("comp"))
     members = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_id")).alias("set_id"))
     component = F.coalesce("comp", "doc_id")
-    return members.join(named, "set_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _common(a: pa.Array, b: pa.Array, below: int | None = None) -> np.ndarray:
-    """How many values each list of a shares with each list of b, counting only values below a bound if given."""
-    counts = np.concatenate([np.asarray(pc.list_value_length(a)), np.asarray(pc.list_value_length(b))]).astype(np.int64)
-    values = np.concatenate([np.asarray(a.flatten()), np.asarray(b.flatten())])
-    distinct, place = np.unique(values, return_inverse=True)
-    held = np.zeros((len(counts), len(distinct)), np.float32)
-    held[np.repeat(np.arange(len(counts)), counts), place] = 1 if below is None else values < below
-    return held[: len(a)] @ held[len(a) :].T
-
-
-def _block_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs across components of lists of any length (key, cid, comp, n, sketch, keys, wide) that pass the estimate.
-
-    Members of a list are cut into blocks in order of component, so that blocks of one component skip
-    each other. A pair of classes is compared only in the first list that both are in.
-    """
-    order = Window.partitionBy("key").orderBy("comp", "n", "cid")
-    rows = members.withColumn("blk", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    blocks = rows.groupBy("key", "blk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.collect_list(F.struct("cid", "comp", "n", "sketch", "keys", "wide")).alias("m"))
-    blocks = materialize(blocks, "list-blocks")
-    other = blocks.select("key", F.col("blk").alias("blk2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("m").alias("m2"))
-    met = blocks.join(other, "key").where("blk <= blk2 AND NOT (low = high AND low2 = high2 AND low = low2)")
-
-    def run(batches):
-        for b in batches:
-            for key, left, right in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                (ca, oa, na, sa), (cb, ob, nb, sb) = ((np.asarray(v.field("cid")), np.asarray(v.field("comp")), np.asarray(v.field("n")), _matrix(v.field("sketch"))) for v in (left.values, right.values))
-                ka, kb = left.values.field("keys"), right.values.field("keys")
-                small, large = np.minimum(na[:, None], nb[None]), np.maximum(na[:, None], nb[None])
-                enough = (_common(ka, kb) >= LEAST_RUNS) | (small <= SMALL)
-                i, j = np.nonzero((oa[:, None] != ob[None]) & (small >= similarity * large - 1e-9) & enough & (_common(ka, kb, key) == 0))
-                keep = np.flatnonzero(_passes(sa[i], sb[j], na[i], nb[j], similarity))
-                wa, wb = _matrix(left.values.field("wide"), WIDE, np.uint32), _matrix(right.values.field("wide"), WIDE, np.uint32)
-                keep = keep[np.concatenate([_passes(wa[i[k]], wb[j[k]], na[i[k]], nb[j[k]], similarity) for k in np.array_split(keep, len(keep) // 1024 + 1)])]
-                yield pa.RecordBatch.from_arrays([pa.array(ca[i[keep]], pa.int64()), pa.array(cb[j[keep]], pa.int64())], ["a", "b"])
-
-    return met.select("key", "m", "m2").mapInArrow(run, "a long, b long").distinct()
+    out = salted_join(members, named, "set_id", "doc_id", how="left")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
