@@ -93,6 +93,19 @@ def test_estimate():
     assert j[0] == 5 / 20 and used[0] > 1000
 
 
+def test_least_overlap():
+    """No two nested sets of similarity 0.8 share fewer retained values than lists ask for, where that is certain."""
+    r = np.random.default_rng(1)
+    for size in range(1, 100):
+        for other in {size, size + 1, int(size / 0.8)}:
+            if size < 0.8 * other - 1e-9:
+                continue
+            b = r.permutation(other)
+            for a in (b[:size], np.sort(b)[:size], np.sort(b)[other - size :]):
+                both = len(np.intersect1d(np.sort(a)[: M.K], np.sort(b)[: M.K]))
+                assert both >= M.least_overlap(np.array([size, other]), 0.8).max()
+
+
 def test_shingles_of_slices():
     texts = ["a b c a b", None, "x", "A B", "é  É"]
     for at in (0, 2):

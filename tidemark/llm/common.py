@@ -19,12 +19,15 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the setting is absent (local runs and tests) is a folder of this process used.
+    Only where the setting is absent and Spark runs in this process (local runs and tests) is a folder
+    of this machine used; on a cluster that is refused.
     """
     global _own_dir
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tidemark-")
     return f"file://{_own_dir}"

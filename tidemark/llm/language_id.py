@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import blocks as B
 from tidemark.llm.common import crc_remainder, read_table, ship_package
-from tidemark.llm.samples import labelled_sample
+from tidemark.llm.samples import labelled_rows
 
 PER_LANGUAGE = 600
 BUCKETS = 1 << 15
@@ -65,11 +65,13 @@ def word_scores(words: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Score of each word per language, and its number of letters."""
     n, k = len(words), len(model.languages)
     word, gram, script = letter_trigrams(words)
-    letters = np.bincount(word, minlength=n)[:n]
+    marks = np.asarray(pc.utf8_length(pc.replace_substring_regex(words, r"\P{M}+", ""))).astype(np.int64)
+    held = np.bincount(word, minlength=n)[:n]
+    letters = np.maximum(held - marks, 0)  # combining marks shape trigrams, but are no letters
     out = np.zeros((n, k))
     for j in range(k):
         out[:, j] = np.bincount(word, model.logs[gram, j], n)[:n]
-    out /= np.sqrt(np.maximum(letters, 1))[:, None]
+    out /= np.sqrt(np.maximum(held, 1))[:, None]
     # the script of most letters decides which languages compete
     main = np.zeros((n, len(SCRIPT_NAMES)), np.int64)
     np.add.at(main, (word, script), 1)
@@ -123,7 +125,7 @@ def fit(counts: np.ndarray, scripts: np.ndarray, languages: list[str]) -> Model:
 def train(docs: DataFrame, usable, lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Model from texts with a language, of documents for which the column usable (over doc_id) holds."""
     ship_package(docs.sparkSession)
-    sample, counts = labelled_sample(docs, docs.select("doc_id", F.col(lang_col).cast("string").alias("label_")), "label_", usable, per_language)
+    sample, counts = labelled_rows(docs.withColumn(lang_col, F.col(lang_col).cast("string")), lang_col, usable, per_language)
     languages = sorted(counts)
     place = {x: k for k, x in enumerate(languages)}
     cells = BUCKETS + len(SCRIPT_NAMES)

@@ -93,7 +93,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch) of docs (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, set_id, sketch) of docs (doc_id, text, text_hash)."""
 
     def run(batches):
         for b in _slices(batches):
@@ -101,10 +101,11 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
             raw, cuts = s.tobytes(), list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
             ids = [hashlib.blake2b(raw[8 * a : 8 * e], digest_size=16).digest() for a, e in cuts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(ids, pa.binary()), pa.array([raw[8 * a : 8 * min(e, a + K)] for a, e in cuts], pa.binary())], ["doc_id", "n_shingles", "set_id", "sketch"]
+                [b.column(0), b.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(ids, pa.binary()), pa.array([raw[8 * a : 8 * min(e, a + K)] for a, e in cuts], pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "set_id", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, sketch binary")
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +150,8 @@ def least_overlap(sizes: np.ndarray, similarity: float, k: int = K) -> np.ndarra
         likely += 1
     certain = k - np.floor(sizes * (1 - similarity) / similarity + 1e-9)
     whole = np.ceil(similarity * sizes - 1e-9)
-    return np.where(sizes <= similarity * k, whole, np.maximum(certain, likely - 1)).astype(np.int64)
+    # the union holds up to k values, all of them retained, or more, of which the k smallest are
+    return np.where(sizes <= k, np.minimum(whole, certain), np.maximum(certain, likely - 1)).astype(np.int64)
 
 
 def _postings(sets: DataFrame, order, similarity: float, whole: bool) -> DataFrame:
@@ -307,11 +309,11 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, trace=None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text)."""
     say = trace or (lambda *_: None)
     similarity = percent / 100
     ship_package(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     signed = materialize(sketches(texts, n), "sketches")
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     best = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), F.col("sketch").alias("data"))).alias("x")
@@ -350,10 +352,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             done = components(done.unionByName(more))
 
     named = classes.join(done.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "cid", "left").where("copies > 1 OR comp IS NOT NULL").select("set_id", F.coalesce("comp", "cid").alias("comp"))
-    members = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_id")).alias("set_id"))
+    members = signed.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_id")).alias("set_id"))
     component = F.coalesce("comp", "doc_id")
     out = salted_join(members, named, "set_id", "doc_id", how="left")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,10 +175,14 @@ def mcd_fit(rows: DataFrame, steps: int = STEPS, h: float = H) -> DataFrame:
     return params
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, n_words, the base statistics, base_failed, distance2 (null where there is no estimate), kept."""
-    named = docs.select(id_col, text_col, F.coalesce(F.col(lang_col), F.lit("")).alias("_lang"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"))
-    stats = text_statistics(named, id_col, text_col, extra=("_lang", "_source"))
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, whole_rows: bool = False) -> DataFrame:
+    """doc_id, n_words, the base statistics, base_failed, distance2 (null where there is no estimate), kept.
+
+    whole_rows: the rows of docs that are kept instead, with all their columns; they travel beside the statistics, so no join fetches them.
+    """
+    row = F.struct(*[F.col(c) for c in docs.columns]) if whole_rows else F.lit(0)
+    named = docs.select(id_col, text_col, F.coalesce(F.col(lang_col), F.lit("")).alias("_lang"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"), row.alias("_row"))
+    stats = text_statistics(named, id_col, text_col, extra=("_lang", "_source", "_row"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = materialize(stats.withColumn("base_failed", failed).withColumns(_vector()), "text-stats")
 
@@ -196,6 +200,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     celled = stats.join(F.broadcast(cells) if few else cells, ["_lang", "_source"], "left")
     params = mcd_fit(celled.where(~F.col("base_failed")).select(F.explode("fits").alias("cell"), *FLOORS))
     judged = _distance(celled.join(F.broadcast(params) if few else params, "cell", "left"))
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False))
+    if whole_rows:
+        return judged.where(kept).select("_row.*")
     return judged.select(
         "doc_id",
         "n_words",
@@ -205,7 +212,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "n_repeat_words",
         "base_failed",
         F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"),
-        (~F.col("base_failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False))).alias("kept"),
+        kept.alias("kept"),
     )
 
 

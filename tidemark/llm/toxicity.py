@@ -212,6 +212,20 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs, with all their columns, that score below the threshold: each is judged where it lies."""
+    ship_package(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in B.text_slices(batches, at):
+            s = Sentences(b.column(at))
+            score = noisy_or(sentence_scores(s, model), s.doc, s.n_docs) if model.constant is None else np.full(s.n_docs, model.constant)
+            yield b.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, and the places of the offending sentences."""
     model = train(docs, labels, crc_remainder("doc_id", 4) != 2)
