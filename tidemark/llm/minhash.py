@@ -235,20 +235,16 @@ def _promising(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """(cid, n, data): full sets of classes (cid, set_id), built from the texts of docs (doc_id, text)."""
+    """(cid, n, data): full sets of classes (cid, text_hash), built from the texts of docs (doc_id, text, text_hash)."""
 
     def build(batches):
         for b in _slices(batches):
             offsets, s = shingle_sets(b.column(1), n)
             raw, cuts = s.tobytes(), list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
-            sets = [raw[8 * a : 8 * e] for a, e in cuts]
-            ids = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(np.diff(offsets), pa.int64()), pa.array(sets, pa.binary())], ["cid", "set_id", "n", "data"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array([raw[8 * a : 8 * e] for a, e in cuts], pa.binary())], ["cid", "n", "data"])
 
-    texts = docs.withColumnRenamed("doc_id", "cid").join(classes.select("cid"), "cid", "left_semi").select("cid", "text")
-    built = texts.mapInArrow(build, "cid long, set_id binary, n long, data binary")
-    # rows that repeat an id may have other sets
-    return built.join(classes, ["cid", "set_id"], "left_semi").dropDuplicates(["cid", "set_id"]).drop("set_id")
+    texts = docs.withColumnRenamed("doc_id", "cid").join(classes, ["cid", "text_hash"], "left_semi").dropDuplicates(["cid", "text_hash"])
+    return texts.select("cid", "text").mapInArrow(build, "cid long, n long, data binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -316,8 +312,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     signed = materialize(sketches(texts, n), "sketches")
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    best = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), F.col("sketch").alias("data"))).alias("x")
-    classes = materialize(real.groupBy("set_id").agg(best, F.count(F.lit(1)).alias("copies")).select("set_id", "copies", F.col("x.doc_id").alias("cid"), "x.n", "x.data"), "classes")
+    best = F.min(F.struct("doc_id", "text_hash", F.col("n_shingles").alias("n"), F.col("sketch").alias("data"))).alias("x")
+    classes = materialize(real.groupBy("set_id").agg(best, F.count(F.lit(1)).alias("copies")).select("set_id", "copies", F.col("x.doc_id").alias("cid"), "x.text_hash", "x.n", "x.data"), "classes")
     texts = texts.where("doc_id IS NOT NULL")
 
     order = docs.sparkSession.sparkContext.broadcast(rarity(classes.select("data")))
@@ -332,8 +328,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = held.where(F.col("members") > SHORT_LIST).where(F.col("cid") != F.col("lead.cid")).where(fits(F.col("n"), F.col("lead.n")))
     star = star.select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b"))
     pairs = materialize(short.unionByName(star).distinct(), "pairs")
-    sets = materialize(_full_sets(texts, classes.select("cid", "set_id").join(held.select("cid").distinct(), "cid", "left_semi"), n), "sets", "none")
     near = materialize(_promising(pairs, classes, similarity), "promising")
+    asked = near.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(held.where(F.col("members") > SHORT_LIST).select("cid")).distinct()
+    wanted = materialize(classes.select("cid", "text_hash").join(asked, "cid", "left_semi"), "wanted")
+    sets = materialize(_full_sets(texts, wanted, n), "sets", "none")
     say("pairs", lambda: pairs.count(), lambda: near.count())
     links = _verified(near, sets, percent)
     done = components(links)
