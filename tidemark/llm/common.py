@@ -69,15 +69,18 @@ SALT_ROWS, MAX_SALTED = 256, 1 << 16
 
 
 def salted_join(rows: DataFrame, side: DataFrame, key: str, spread: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
-    """rows joined with side (one row per key), hot keys spread over salts by the column spread.
+    """rows joined with side by key, the hottest keys spread over salts by the column spread.
 
-    A key with more than SALT_ROWS rows, or more than 1 in MAX_SALTED of all, gets one salt per so many
-    rows and its row of side a copy per salt. The list of such keys has at most MAX_SALTED rows, so it
-    is broadcast. counted: a table with the same keys as rows that is cheaper to count.
+    A key with more than SALT_ROWS rows gets one salt per so many rows, and its row of side a copy per
+    salt. Of these the MAX_SALTED with most rows are listed and broadcast; any other key then has less
+    than one in MAX_SALTED of all rows. counted: a table with the same keys that is cheaper to count.
     """
-    counted = rows if counted is None else counted
-    floor = max(SALT_ROWS, counted.count() // MAX_SALTED)
-    hot = F.broadcast(counted.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > floor).select(key, F.ceil(F.col("_n") / floor).alias("_parts")))
+    counts = (rows if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    found = counts.where(F.col("_n") > SALT_ROWS).orderBy(F.desc("_n")).limit(MAX_SALTED).collect()
+    if not found:
+        return rows.join(side, key, how)
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
+    hot = F.broadcast(spark.createDataFrame([(r[0], -(-r[1] // SALT_ROWS)) for r in found], f"{key} {kind}, _parts long"))
     parts = F.coalesce("_parts", F.lit(1))
     left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts)).drop("_parts")
     right = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")

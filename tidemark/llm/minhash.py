@@ -46,7 +46,7 @@ from tidemark.llm.components import components
 
 K = 64
 #: Cells in which retained values are counted, 1 byte each.
-CELLS, SHARDS = 1 << 22, 16
+CELLS, SHARDS = 1 << 24, 64
 #: Chance that a pair just at the similarity shares fewer retained values than lists ask for.
 MISS = 1e-7
 #: Lists up to this length give all pairs at once.
@@ -171,7 +171,7 @@ def _postings(sets: DataFrame, order, similarity: float, whole: bool) -> DataFra
             place = np.arange(len(values)) - np.repeat(np.cumsum(held) - held, held)
             least = np.ceil(similarity * sizes - 1e-9).astype(np.int64) if whole else least_overlap(sizes, similarity)
             own = np.bincount(owner, size == 0, len(held)) / np.maximum(held, 1)
-            keep = place < (held - least + 1)[owner]
+            keep = (place < (held - least + 1)[owner]) & (size > 0)  # a value alone in its cell is in no other set
             o = owner[keep]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values[keep].view(np.int64)), pa.array(ids[o], pa.int64()), pa.array(sizes[o]), pa.array(own[o]), pa.array(place[keep], pa.int64())],
@@ -220,7 +220,8 @@ def _passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, simila
 
 def _promising(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that the union-sketch estimate lets pass."""
-    c = classes.select("cid", "n", "data")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    c = materialize(classes.select("cid", "n", "data").join(asked, "cid", "left_semi"), "asked", "none")
     met = salted_join(pairs.select("a", "b"), c.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("data").alias("sb")), "b", "a")
     met = salted_join(met, c.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("data").alias("sa")), "a", "b", counted=pairs)
 
@@ -304,8 +305,8 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return materialize(met.select("m", "m2").mapInArrow(run, "a long, b long").distinct(), "rest-pairs")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, trace=None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, with_hash: bool = False, trace=None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, and if asked for text_hash (xxhash64 of the text)."""
     say = trace or (lambda *_: None)
     similarity = percent / 100
     ship_package(docs.sparkSession)
@@ -353,7 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = signed.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_id")).alias("set_id"))
     component = F.coalesce("comp", "doc_id")
     out = salted_join(members, named, "set_id", "doc_id", how="left")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *["text_hash"] * with_hash)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
