@@ -54,7 +54,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    dropped = near_duplicates(docs, n=SHINGLE_WORDS, percent=SIMILARITY_PERCENT).where("NOT kept").select("doc_id", F.col("text_hash").alias("key"))
+    dropped = near_duplicates(docs, n=SHINGLE_WORDS, percent=SIMILARITY_PERCENT, with_hash=True).where("NOT kept").select("doc_id", F.col("text_hash").alias("key"))
     return _without(docs, dropped, F.xxhash64("text"))
 
 
