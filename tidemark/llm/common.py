@@ -78,13 +78,13 @@ def salted_join(rows: DataFrame, side: DataFrame, key: str, spread: str, how: st
     counts = (rows if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     found = counts.where(F.col("_n") > SALT_ROWS).orderBy(F.desc("_n")).limit(MAX_SALTED).collect()
     if not found:
-        return rows.join(side, key, how)
+        return rows.join(side.hint("merge"), key, how)  # both sides grow with the input
     spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
     hot = F.broadcast(spark.createDataFrame([(r[0], -(-r[1] // SALT_ROWS)) for r in found], f"{key} {kind}, _parts long"))
     parts = F.coalesce("_parts", F.lit(1))
     left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts)).drop("_parts")
     right = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def ship_package(spark: SparkSession) -> None:

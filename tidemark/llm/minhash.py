@@ -5,8 +5,8 @@
 2. Inverted lists of retained values: two sets of the similarity asked for share at least `t` of
    their retained values, so if all classes order theirs alike, rarest first, both hold a shared one
    among their first K - t + 1. Only these are listed; common shingles are in nobody's list. The order
-   comes from counts of all retained values in CELLS cells, 1 byte each: a bounded broadcast at any
-   size, and cells that coincide only make lists longer. For sets that their sketch holds whole, and
+   comes from counts of all retained values in at most MAX_CELLS cells, 1 byte each: a bounded
+   broadcast at any size, and values that share a cell only make lists longer. For sets that their sketch holds whole, and
    for somewhat larger ones, t is certain; for others fewer than t values are shared by a pair just
    at the bound in one case in 10^7.
 3. Lists of up to SHORT_LIST classes give all pairs. Longer ones, which near copies fill, link each
@@ -45,8 +45,10 @@ from tidemark.llm.common import materialize, read_table, salted_join, ship_packa
 from tidemark.llm.components import components
 
 K = 64
-#: Cells in which retained values are counted, 1 byte each.
-CELLS, SHARDS = 1 << 24, 64
+#: Values are counted in about as many cells as there are values, 1 byte each, at most MAX_CELLS.
+MAX_CELLS, SHARDS = 1 << 25, 64
+#: Bits of the filter that says which classes cannot be asked for.
+FILTER_BITS = 1 << 26
 #: Chance that a pair just at the similarity shares fewer retained values than lists ask for.
 MISS = 1e-7
 #: Lists up to this length give all pairs at once.
@@ -114,15 +116,16 @@ def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(x) // 8 for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint64)
 
 
-def rarity(sets: DataFrame) -> np.ndarray:
-    """Size class of the count of each cell, over all values of sets (data)."""
-    width = CELLS // SHARDS
+def rarity(sets: DataFrame, values: int) -> np.ndarray:
+    """Size class of the count of each cell, over all values of sets (data), of which there are so many."""
+    cells = min(MAX_CELLS, max(SHARDS << 10, 1 << max(values - 1, 1).bit_length()))
+    width = cells // SHARDS
 
     def count(batches):
-        total = np.zeros(CELLS, np.uint32)
+        total = np.zeros(cells, np.uint32)
         for b in batches:
-            cells, n = np.unique(_values(b.column(0))[1] & np.uint64(CELLS - 1), return_counts=True)
-            total[cells] += n.astype(np.uint32)
+            held, n = np.unique(_values(b.column(0))[1] & np.uint64(cells - 1), return_counts=True)
+            total[held] += n.astype(np.uint32)
         for k in range(SHARDS):
             part = total[k * width : (k + 1) * width]
             at = np.flatnonzero(part)
@@ -136,12 +139,48 @@ def rarity(sets: DataFrame) -> np.ndarray:
         return pa.table({"shard": rows.column("shard").slice(0, 1), "size": pa.array([size.tobytes()], pa.binary())})
 
     found = sets.mapInArrow(count, "shard int, at binary, n binary").groupBy("shard").applyInArrow(add, "shard int, size binary").collect()
-    out = np.zeros(CELLS, np.uint8)
+    out = np.zeros(cells, np.uint8)
     for shard, size in found:
         out[shard * width : (shard + 1) * width] = np.frombuffer(bytes(size), np.uint8)
     return out
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Two places of each id in the filter."""
+    h = B.mix(ids.astype(np.int64).view(np.uint64), 23)
+    return np.concatenate([h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)]).astype(np.int64)
+
+
+def _filter(ids: DataFrame):
+    """Broadcast bits of ids (one bigint column). It has a fixed size: with very many ids it lets more pass, and joins drop these."""
+    width = FILTER_BITS // SHARDS
+
+    def mark(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            bits[_bits(np.asarray(b.column(0)))] = True
+        for k in range(SHARDS):
+            at = np.flatnonzero(bits[k * width : (k + 1) * width])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([B.pack_ints(np.diff(at, prepend=0).astype(np.uint32))], pa.binary())], ["shard", "at"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(width, bool)
+        for at in rows.column("at"):
+            bits[np.cumsum(B.unpack_ints(at.as_py(), np.uint32), dtype=np.int64)] = True
+        return pa.table({"shard": rows.column("shard").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for shard, bits in ids.mapInArrow(mark, "shard int, at binary").groupBy("shard").applyInArrow(add, "shard int, bits binary").collect():
+        out[shard * width // 8 : (shard + 1) * width // 8] = np.frombuffer(bytes(bits), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(out)
+
+
+def _may_hold(bits, ids: np.ndarray) -> np.ndarray:
+    at = _bits(ids)
+    hit = (bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+    return (hit[: len(ids)] & hit[len(ids) :]).astype(bool)
+
+
 def least_overlap(sizes: np.ndarray, similarity: float, k: int = K) -> np.ndarray:
     """Retained values that a set of each size shares at least with any set of the similarity asked for."""
     tail, likely = 0.0, 0
@@ -165,7 +204,7 @@ def _postings(sets: DataFrame, order, similarity: float, whole: bool) -> DataFra
             ids, sizes = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)
             held, values = _values(b.column(2))
             owner = np.repeat(np.arange(len(held)), held)
-            size = order.value[values & np.uint64(CELLS - 1)]
+            size = order.value[values & np.uint64(len(order.value) - 1)]
             at = np.lexsort((values, size, owner))
             values, owner, size = values[at], owner[at], size[at]
             place = np.arange(len(values)) - np.repeat(np.cumsum(held) - held, held)
@@ -220,8 +259,13 @@ def _passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, simila
 
 def _promising(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that the union-sketch estimate lets pass."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    c = materialize(classes.select("cid", "n", "data").join(asked, "cid", "left_semi"), "asked", "none")
+    asked = _filter(pairs.select(F.explode(F.array("a", "b")).alias("cid")))
+
+    def pick(batches):
+        for b in batches:
+            yield b.filter(pa.array(_may_hold(asked, np.asarray(b.column(0)))))
+
+    c = materialize(classes.select("cid", "n", "data").mapInArrow(pick, "cid long, n long, data binary"), "asked", "none")
     met = salted_join(pairs.select("a", "b"), c.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("data").alias("sb")), "b", "a")
     met = salted_join(met, c.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("data").alias("sa")), "a", "b", counted=pairs)
 
@@ -236,16 +280,22 @@ def _promising(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """(cid, n, data): full sets of classes (cid, text_hash), built from the texts of docs (doc_id, text, text_hash)."""
+    """(cid, n, data): full sets of classes (cid, text_hash), built from the texts of docs (doc_id, text, text_hash).
+
+    Texts stay where they lie: sets are built of those that the filter cannot rule out, and these meet the classes.
+    """
+    asked = _filter(classes.select("cid"))
 
     def build(batches):
         for b in _slices(batches):
+            b = b.filter(pa.array(_may_hold(asked, np.asarray(b.column(0)))))
             offsets, s = shingle_sets(b.column(1), n)
             raw, cuts = s.tobytes(), list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array([raw[8 * a : 8 * e] for a, e in cuts], pa.binary())], ["cid", "n", "data"])
+            sets = pa.array([raw[8 * a : 8 * e] for a, e in cuts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(offsets), pa.int64()), sets], ["cid", "text_hash", "n", "data"])
 
-    texts = docs.withColumnRenamed("doc_id", "cid").join(classes, ["cid", "text_hash"], "left_semi").dropDuplicates(["cid", "text_hash"])
-    return texts.select("cid", "text").mapInArrow(build, "cid long, n long, data binary")
+    built = docs.select(F.col("doc_id").alias("cid"), "text", "text_hash").mapInArrow(build, "cid long, text_hash long, n long, data binary")
+    return built.join(classes.hint("merge"), ["cid", "text_hash"], "left_semi").dropDuplicates(["cid", "text_hash"]).drop("text_hash")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -271,8 +321,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _rest_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) across components, of the classes rest (cid, comp), that prefixes of the full sets cannot rule out."""
-    held = materialize(sets.join(rest, "cid"), "rest-sets", "none")
-    order = held.sparkSession.sparkContext.broadcast(rarity(held.select("data")))
+    held = materialize(sets.join(rest.hint("merge"), "cid"), "rest-sets", "none")
+    order = held.sparkSession.sparkContext.broadcast(rarity(held.select("data"), held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     posted = materialize(_postings(held, order, similarity, True).join(rest, "cid"), "rest-postings")
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     # the values from the shared one on must suffice; classes of which few are left lie in blocks of their own
@@ -317,7 +367,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(real.groupBy("set_id").agg(best, F.count(F.lit(1)).alias("copies")).select("set_id", "copies", F.col("x.doc_id").alias("cid"), "x.text_hash", "x.n", "x.data"), "classes")
     texts = texts.where("doc_id IS NOT NULL")
 
-    order = docs.sparkSession.sparkContext.broadcast(rarity(classes.select("data")))
+    order = docs.sparkSession.sparkContext.broadcast(rarity(classes.select("data"), classes.agg(F.coalesce(F.sum(F.least("n", F.lit(K))), F.lit(0))).first()[0]))
     posted = materialize(_postings(classes, order, similarity, False), "postings")
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("own", "cid", "n")).alias("lead")).where("members > 1")
     held = materialize(_with_lists(posted.select("key", "cid", "n"), lists, posted.count()), "lists")
