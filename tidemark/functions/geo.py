@@ -63,6 +63,46 @@ def wind_from_uv(u: Column, v: Column) -> tuple[Column, Column]:
     return F.hypot(u, v) * KNOTS, F.pmod(F.degrees(F.atan2(-u, -v)) + 360.0, F.lit(360.0))
 
 
+def current_to_uv(u: Column, v: Column) -> tuple[Column, Column]:
+    """Speed in knots and direction a current sets toward."""
+    return F.hypot(u, v) * KNOTS, F.pmod(F.degrees(F.atan2(u, v)) + 360.0, F.lit(360.0))
+
+
+def unwrap_lon(previous: Column, lon: Column) -> Column:
+    """Longitude made continuous with the one before."""
+    return lon - 360.0 * F.ceil((lon - previous - 180.0) / 360.0)
+
+
+def blend_direction(a: Column, b: Column, share: Column) -> Column:
+    """Direction between a (share 0) and b (share 1) along the shorter arc."""
+    gap = F.pmod(b - a + 540.0, F.lit(360.0)) - 180.0
+    return F.pmod(a + gap * share + 360.0, F.lit(360.0))
+
+
+def mercator_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of Web Mercator metres."""
+    half = 20037508.34
+    return F.degrees(F.atan(F.exp(y / half * F.pi()))) * 2 - 90.0, x / half * 180.0
+
+
+def segment_nm(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column, steps: int = 8) -> Column:
+    """Least distance to points laid evenly along a segment, its ends included."""
+    span = wrap_lon(lon2 - lon1)
+    along = [haversine_nm(lat, lon, lat1 + (k / steps) * (lat2 - lat1), wrap_lon(lon1 + (k / steps) * span)) for k in range(1, steps)]
+    return F.least(haversine_nm(lat, lon, lat1, lon1), haversine_nm(lat, lon, lat2, lon2), *along)
+
+
+def gale_probability(lat: Column, month: Column) -> Column:
+    """Gale probability by latitude band and month."""
+    return (
+        F.when(lat < -40, F.when(month.isin(6, 7, 8), 0.55).otherwise(0.40))
+        .when(lat < -30, 0.25)
+        .when(lat.between(40, 60), F.when(month.isin(11, 12, 1, 2, 3), 0.35).otherwise(0.10))
+        .when(lat.between(5, 25), 0.05)
+        .otherwise(0.12)
+    )
+
+
 def synthetic_lat(key: Column) -> Column:
     """Latitude of a key in tables without coordinates."""
     return (key.cast("long") * 7919 % 18000) / 100.0 - 90.0

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folds() -> dict[str, str]:
+    """Lower-case letters of the Latin blocks whose compatibility decomposition is one ASCII letter with marks, and that letter."""
+    out = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain.isascii() and chr(code).islower():
+            out[chr(code)] = plain
+    return out
+
+
+ACCENTED, PLAIN = ("".join(x) for x in zip(*_folds().items()))
 
 
 def fold(text: Column) -> Column:
@@ -34,6 +46,33 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def scheme(url: Column) -> Column:
+    """Scheme in lower case, https if there is none."""
+    found = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
+    return F.when(found == "", F.lit("https")).otherwise(found)
+
+
+def normalized_url(url: Column) -> Column:
+    """Scheme, host without www, ports but 80 and 443, path without trailing slashes, query; no fragment."""
+    url = F.trim(url)
+    port = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#:]*:(\d+)", 1)
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    shown = F.when((port == "") | port.isin("80", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port))
+    return F.concat(scheme(url), F.lit("://"), host(url), shown, F.regexp_replace(path(url), "/+$", ""), F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+
+
+def hit_key(url: Column) -> Column:
+    """Scheme, host without www, path without trailing slashes (/ if empty); no port, query or fragment."""
+    bare = F.regexp_replace(path(F.trim(url)), "/+$", "")
+    return F.concat(scheme(F.trim(url)), F.lit("://"), host(F.trim(url)), F.when(bare == "", F.lit("/")).otherwise(bare))
+
+
+def list_like_score(chunk: Column, pattern: str) -> Column:
+    """How much a chunk looks like a list: pattern hits and decimal numbers, at most 1."""
+    hits, numbers = F.size(F.regexp_extract_all(chunk, F.lit(f"(?i)({pattern})"), F.lit(0))), F.size(F.regexp_extract_all(chunk, F.lit(r"(\d+\.\d+)"), F.lit(0)))
+    return F.least(F.lit(1.0), hits * 0.18 + F.least(numbers, F.lit(6)) * 0.06)
+
+
 def url_key(url: Column) -> Column:
     """Host and path without a trailing slash."""
     return F.concat(host(url), F.regexp_replace(path(url), "/+$", ""))

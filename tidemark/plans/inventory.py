@@ -443,7 +443,7 @@ def str_02(spark, d):
     return table(spark, d, "documents").select("doc_id", text.spaced_name(F.col("text")).alias("name"))
 
 
-@register("str_14_url_key", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS key FROM pages")
+@register("str_host_path", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS key FROM pages")
 def str_14(spark, d):
     return table(spark, d, "pages").select("page_id", text.url_key(F.col("url")).alias("key"))
 
