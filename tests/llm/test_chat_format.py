@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import chat_format as C
 
 
@@ -66,3 +68,14 @@ def test_query(spark, tmp_path):
 
 def test_empty(spark):
     assert C.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_loss_follows_the_mask(spark):
+    """A mask that is off by one gives other text: the loss is cut out by it."""
+    table = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "a </s> b\U0001f600"), (1, 2, "assistant", ""), (1, 3, "user", "x"), (1, 4, "assistant", "c" * 2000)], "conv_id long, turn long, role string, text string")
+    out = C.format_conversations(table)
+    text = lambda runs: out.select(C.masked_text(F.col("formatted"), runs)).first()[0]
+    assert text(F.col("mask_runs")) == "a </s> b\U0001f600" + "c" * 2000
+    late = F.transform("mask_runs", lambda r: F.struct((r["skip"] + 1).alias("skip"), r["take"].alias("take"), r["tail"].alias("tail")))
+    assert text(late) != text(F.col("mask_runs"))
+    assert text(F.slice("mask_runs", 1, 2)) is None

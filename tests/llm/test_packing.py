@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, packing
@@ -76,10 +77,13 @@ def test_pieces(spark):
         check(rows, out.collect(), length)
 
 
-def test_many_sources_are_hashed(spark):
-    rows = [(i, "a b", f"source {i}") for i in range(packing.MAX_QUEUES + 20)]
-    check(rows, packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), length=16).collect(), 16)
-
-
-def test_empty(spark):
-    assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+def test_many_sources_are_queues_of_their_own(spark, monkeypatch):
+    rows = [(i, "a b", f"source {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack_documents(df).collect()
+    assert {r["doc_id"] for r in got} == set(range(600)) and sum(r["length"] for r in got) == sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
+    with pytest.raises(ValueError, match="no documents"):
+        packing.pack_documents(df, weights={"elsewhere": 1.0})
+    monkeypatch.setattr(packing, "MAX_QUEUES", 500)
+    with pytest.raises(ValueError, match="different sources"):
+        packing.pack_documents(df)

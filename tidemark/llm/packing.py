@@ -10,7 +10,7 @@ Because documents may be cut anywhere, round-robin has a closed form: after w of
 source s has been served floor(w t_s / n) of its t_s tokens. A document's place follows from its
 position in its source's queue alone, and that from running totals per (chunk, source). Windows and
 deficits so pass over partitions without any task seeing a whole queue; the driver holds one total
-per source (at most MAX_QUEUES; rarer layouts hash sources into that many queues).
+per source, and more than MAX_QUEUES sources are refused.
 
 Without weights the targets are the corpus's own proportions, and every window mirrors the corpus.
 
@@ -38,7 +38,9 @@ LENGTH = 4096
 END_ID = 2
 #: Tokens of a window, in sequences.
 WINDOW_SEQUENCES = 64
-MAX_QUEUES = 512
+MAX_QUEUES = 1_000_000
+#: Slots of windows that a Python worker remembers, 24 bytes each.
+REMEMBERED_SLOTS = 2_000_000
 #: Text bytes that are encoded at a time.
 SLICE_BYTES = 2 << 20
 #: Words that a Python worker remembers between slices.
@@ -146,21 +148,21 @@ class Schedule:
         for power in reversed(range(length.bit_length())):
             if rest >> power & 1:
                 self.tail.append(1 << power)
-        self._windows: dict[tuple[int, int], tuple[int, list[int]]] = {}
+        self._windows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     @staticmethod
     def _upto(w: int, n: int, served: np.ndarray) -> np.ndarray:
         """Tokens of each queue that w windows of n have served: floor(w served / n), without overflow."""
         return w * (served // n) + w * (served % n) // n
 
-    def _window(self, phase: int, w: int) -> tuple[list[int], list[int], list[int]]:
+    def _window(self, phase: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a window: place in the stream of each queue's slot, and the slot's bounds in the phase's queues."""
         if (phase, w) not in self._windows:
-            if len(self._windows) > 10_000:
+            if len(self._windows) > 4 + REMEMBERED_SLOTS // max(1, len(self.queues)):
                 self._windows.clear()
             n, served, _, base = self.phases[phase]
             a, b = self._upto(w, n, served), self._upto(w + 1, n, served)
-            self._windows[phase, w] = ((base + int(a.sum()) + np.cumsum(b - a) - (b - a)).tolist(), a.tolist(), b.tolist())
+            self._windows[phase, w] = (base + int(a.sum()) + np.cumsum(b - a) - (b - a), a, b)
         return self._windows[phase, w]
 
     def stream(self, queue: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
@@ -172,8 +174,8 @@ class Schedule:
                 own = a - lead
                 w = -(-(own + 1) * n // t) - 1
                 slot, low, high = self._window(phase, w)
-                upto = min(b, lead + high[s])
-                yield a - first, upto - a, slot[s] + own - low[s]
+                upto = min(b, lead + int(high[s]))
+                yield a - first, upto - a, int(slot[s]) + own - int(low[s])
                 a = upto
 
     def cut(self, place: int, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -212,11 +214,14 @@ def pack_documents(
     path = path or bpe.default_vocabulary()
     ship_package(docs.sparkSession)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    queue = source if small_enough(docs.select(source.alias("q")).distinct(), MAX_QUEUES) else F.format_string("queue %d", F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)))
-    tokens = token_table(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), queue.alias("queue")), path, end_id)
+    if not small_enough(docs.select(source.alias("q")).distinct(), MAX_QUEUES):
+        raise ValueError(f"more than {MAX_QUEUES} different sources")
+    tokens = token_table(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), source.alias("queue")), path, end_id)
     held = tokens.groupBy("chunk", "queue").agg(F.sum("n").alias("m"))
     chunks = materialize(held.selectExpr("chunk", "queue", "m", "coalesce(sum(m) OVER (PARTITION BY queue ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lead"), "chunk-leads")
     totals = {r["queue"]: r["t"] for r in chunks.groupBy("queue").agg(F.sum("m").alias("t")).collect()}
+    if totals and weights and not set(weights) <= set(totals):
+        raise ValueError(f"no documents of the sources {sorted(set(weights) - set(totals))}")
     plan = Schedule(totals, weights, length, window_sequences * length)
     leads = chunks.select("chunk", "queue", "lead")
     placed = tokens.join(F.broadcast(leads) if small_enough(leads, BROADCAST_ROWS) else leads, ["chunk", "queue"]).select("doc_id", "queue", "n", (F.col("lead") + F.col("chunk_pos")).alias("at"), "ids")

@@ -101,7 +101,9 @@ def vote(x: np.ndarray, model: Model) -> np.ndarray:
     v = project(x, model.weights, model.axes)
     cosine = v @ model.vectors.T
     k = min(NEIGHBOURS, cosine.shape[1])
-    near = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if cosine.shape[1] <= k else np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]  # the k-th nearest; of equals the earlier vectors
+    above, equal = cosine > least, cosine == least
+    near = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True))))[1].reshape(-1, k)
     weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARPNESS * model.votes[near]
     total = weight.sum(1)
     score = (weight * model.labels[near]).sum(1) / np.maximum(total, 1e-300)
