@@ -225,7 +225,7 @@ def _path_tokens(pages):
     return pages.select("page_id", F.explode(F.array_distinct(F.filter(F.split(F.translate(at, ".-_", "///"), "/"), keep))).alias("token"))
 
 
-@register("agg_17_token_scores", f"SELECT token, round(sum(CASE WHEN page_id % 2 = 0 THEN 0.15 ELSE -0.2 END), 4) AS score FROM (SELECT page_id, unnest({_TOKENS.format(p=_TOKEN_PATH)}) AS token FROM pages) GROUP BY token")
+@register("agg_17_token_scores", f"SELECT token, round(sum(CASE WHEN page_id % 2 = 0 THEN 0.15 ELSE -0.2 END), 4)::DOUBLE AS score FROM (SELECT page_id, unnest({_TOKENS.format(p=_TOKEN_PATH)}) AS token FROM pages) GROUP BY token")
 def agg_17_tokens(spark, d):
     """Score of each path token: 0.15 for a kept URL, -0.2 for a dropped one."""
     t = _path_tokens(table(spark, d, "pages"))
