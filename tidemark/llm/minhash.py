@@ -14,8 +14,8 @@
 4. Pairs are filtered by the union-sketch estimate (4.5 standard errors: a pair just at the bound is
    lost in one case in 10^5), and what remains is verified by the exact Jaccard similarity of the
    full sets, built again from the texts.
-5. Long lists whose classes lie in one component by now are done. The classes of all others are listed
-   once more, by their full sets: there the prefixes are as short as the similarity allows, and a
+5. Long lists whose classes lie in one component by now are done; those of others meet a few pivots.
+   The classes of lists that still span components are listed once more, by their full sets: there the prefixes are as short as the similarity allows, and a
    pair is dropped where the values after the shared one cannot suffice. Blocks of such a list are
    compared across components only; pairs that pass go through step 4. So no list is cut and no
    link of a large group is lost, while groups of copies never become all their pairs.
@@ -53,6 +53,8 @@ FILTER_BITS = 1 << 26
 MISS = 1e-7
 #: Lists up to this length give all pairs at once.
 SHORT_LIST = 40
+#: Classes that members of long lists are compared with in each round before the rest is compared in full.
+PIVOTS, PIVOT_ROUNDS = 8, 2
 #: Members of a block when the rest of a long list is compared.
 BLOCK = 1024
 #: Keys with at least this share of all rows are broadcast: there are at most MAX_HOT of them.
@@ -370,7 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = docs.sparkSession.sparkContext.broadcast(rarity(classes.select("data"), classes.agg(F.coalesce(F.sum(F.least("n", F.lit(K))), F.lit(0))).first()[0]))
     posted = materialize(_postings(classes, order, similarity, False), "postings")
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("own", "cid", "n")).alias("lead")).where("members > 1")
-    held = materialize(_with_lists(posted.select("key", "cid", "n"), lists, posted.count()), "lists")
+    held = materialize(_with_lists(posted.select("key", "cid", "n", F.floor(F.col("own") * 32).alias("few")), lists, posted.count()), "lists")
     say("postings", lambda: posted.count(), lambda: held.count())
     m = F.col("m")
     fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
@@ -388,17 +390,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     done = components(links)
     say("links", lambda: links.count())
 
-    found = held.where(F.col("members") > SHORT_LIST).join(done.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "cid", "left").select("key", "cid", "members", F.coalesce("comp", "cid").alias("comp"))
-    found = materialize(found, "long-lists")
-    open_ = found.groupBy("key").agg(F.max("members").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "members")
-    rest = materialize(_with_lists(found.select("key", "cid", "comp"), open_, held.count()).select("cid", "comp").distinct(), "rest")
+    def apart() -> DataFrame:
+        """Members (key, cid, members, comp) of the long lists that still span components."""
+        found = held.where(F.col("members") > SHORT_LIST).join(done.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "cid", "left").select("key", "cid", "few", "members", F.coalesce("comp", "cid").alias("comp"))
+        found = materialize(found, "long-lists")
+        open_ = found.groupBy("key").agg(F.max("members").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "members")
+        return materialize(_with_lists(found.select("key", "cid", "few", "comp"), open_, held.count()), "open-lists")
+
+    def link(tried: DataFrame, name: str) -> None:
+        """Tries pairs; links found join the components."""
+        nonlocal done
+        found = _verified(materialize(_promising(tried, classes, similarity), "promising"), sets, percent)
+        say(name, lambda: tried.count(), lambda: found.count())
+        if not found.isEmpty():
+            done = components(done.unionByName(found))
+
+    for turn in range(PIVOT_ROUNDS):
+        left = apart()
+        if left.isEmpty():
+            break
+        # pivots are drawn alike by all lists, from classes with few values of their own; what they link need not be compared in full
+        draw = F.xxhash64(F.col("cid"), F.pmod(F.xxhash64("key"), F.lit(PIVOTS)) + turn * PIVOTS)
+        pivots = left.groupBy("key").agg(F.max("members").alias("members"), F.min(F.struct("few", draw.alias("draw"), F.col("cid").alias("p"), F.col("comp").alias("pc"))).alias("x")).select("key", "members", "x.p", "x.pc")
+        far = _with_lists(left.select("key", "cid", "comp"), pivots, held.count()).where("comp <> pc")
+        link(materialize(far.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct(), "pivot-pairs"), "pivots")
+    rest = materialize(apart().select("cid", "comp").distinct(), "rest")
     if not rest.isEmpty():
-        tried = _rest_pairs(rest, sets, similarity)
-        say("rest", lambda: rest.count(), lambda: tried.count())
-        more = _verified(materialize(_promising(tried, classes, similarity), "promising"), sets, percent)
-        say("more links", lambda: more.count())
-        if not more.isEmpty():
-            done = components(done.unionByName(more))
+        link(_rest_pairs(rest, sets, similarity), "rest")
 
     named = classes.join(done.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "cid", "left").where("copies > 1 OR comp IS NOT NULL").select("set_id", F.coalesce("comp", "cid").alias("comp"))
     members = signed.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_id")).alias("set_id"))
