@@ -42,7 +42,7 @@ MAX_QUEUES = 1_000_000
 #: Slots of windows that a Python worker remembers, 24 bytes each.
 REMEMBERED_SLOTS = 2_000_000
 #: Text bytes that are encoded at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 #: Words that a Python worker remembers between slices.
 REMEMBERED = 600_000
 #: Rows of (chunk, source) that are broadcast at most, about 30 bytes each.
@@ -57,26 +57,35 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())
         self.counts = np.zeros(0, np.int64)
+        self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among those remembered, new ones added."""
+        found = pc.index_in(words, value_set=self.words)
+        if len(self.words) + found.null_count > REMEMBERED:
+            self.clear()
+            found = pc.index_in(words, value_set=self.words)
+        unknown = pc.is_null(found)
+        places = np.asarray(pc.fill_null(found, 0)).astype(np.int64)
+        if found.null_count:
+            new = words.filter(unknown)
+            counts, ids = bpe.encode_words(new, self.path)
+            places[np.asarray(unknown)] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
+            self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+        return places
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token offsets per text, and ids."""
         offsets, words = B.word_lists(texts, lower=False)
         codes, distinct = B.distinct_words(bpe.plain_words(words))
-        if len(self.place) + len(distinct) > REMEMBERED:
-            self.clear()
-        listed = distinct.to_pylist()
-        new = [w for w in listed if w not in self.place]
-        if new:
-            counts, ids = bpe.encode_words(pa.array(new, pa.large_string()), self.path)
-            self.place.update(zip(new, range(len(self.counts), len(self.counts) + len(new))))
-            self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
-            self.starts = np.concatenate([[0], np.cumsum(self.counts)])
         if not len(codes):
             return np.zeros(len(offsets), np.int64), np.zeros(0, np.uint32)
-        known = np.fromiter(map(self.place.__getitem__, listed), np.int64, len(listed))[codes]
+        known = self._places(distinct)[codes]
         n = self.counts[known]
         ends = np.cumsum(n)
         at = np.repeat(self.starts[known] - (ends - n), n) + np.arange(int(ends[-1]))
