@@ -67,3 +67,32 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda rows: sorted(repr(tuple(r)) for r in rows)
     assert key(spark.table("last").collect()) == key(stream.last_event(batch).collect())
     assert key(spark.table("windows").collect()) == key(stream.windowed_counts(batch.withColumn("ts", F.col("ts").cast("timestamp"))).collect())
+
+
+def test_bbox_crosses_the_antimeridian(spark):
+    from tidemark.functions import geo
+
+    points = [("fiji", -17.0, 177.0), ("fiji", -18.0, -179.0), ("fiji", None, 5.0), ("world", 0.0, -180.0), ("world", 1.0, 180.0), ("near", 46.0, -1.5), ("near", 47.0, 2.0)]
+    rows = geo.bbox_of_points(spark.createDataFrame(points, "box string, lat double, lon double"), "box").collect()
+    got = {r["box"]: (r["west"], r["south"], r["east"], r["north"]) for r in rows}
+    assert got == {"fiji": (177.0, -18.0, 181.0, -17.0), "world": (-180.0, 0.0, 180.0, 1.0), "near": (-1.5, 46.0, 2.0, 47.0)}
+
+
+def test_ring_centroid_of_degenerate_rings(spark):
+    from tidemark.functions import geo
+
+    rings = [(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0), (0.0, 0.0)]), (2, [(5.0, 6.0), (7.0, 8.0)]), (3, [(1.0, 1.0), (2.0, 2.0), (3.0, 3.0), (1.0, 1.0)]), (4, [])]
+    df = spark.createDataFrame(rings, "id int, ring array<struct<x double, y double>>")
+    got = {r["id"]: r["c"] and tuple(r["c"]) for r in df.selectExpr("id", "ring").select("id", geo.ring_centroid(df.ring).alias("c")).collect()}
+    assert got == {1: (2.0, 1.0), 2: (5.0, 6.0), 3: (1.0, 1.0), 4: None}
+
+
+def test_navigation_rule_words(spark):
+    import re
+
+    from tidemark.plans.inventory_rows import _RULE, NAVIGATION_WORDS
+
+    texts = ["VHF 16", "un canal étroit", "canalisation", "no-anchor zone", "tirant d'eau", "étirant", "port d’entr", "harbour master", "restaurant, vue mer", "", "predraft", "draft."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(df.t.rlike(_RULE)).collect()]
+    assert got == [bool(re.search(rf"\b({NAVIGATION_WORDS})\b", t, re.I)) for t in texts]

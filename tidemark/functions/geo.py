@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Mean Earth radius in km and in nautical miles, knots per m/s.
 EARTH_KM, EARTH_NM, KNOTS = 6371.0, 3440.065, 1.94384
+#: Mean Earth radius and nautical mile in metres.
+EARTH_METRES, NM_METRES = 6371008.8, 1852.0
 
 
 def _angle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -23,6 +25,10 @@ def haversine_nm(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return EARTH_NM * _angle(lat1, lon1, lat2, lon2)
 
 
+def haversine_metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    return EARTH_METRES * _angle(lat1, lon1, lat2, lon2)
+
+
 def wrap_lon(lon: Column) -> Column:
     """Longitude in [-180, 180)."""
     return F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
@@ -92,6 +98,34 @@ def segment_nm(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Colum
     return F.least(haversine_nm(lat, lon, lat1, lon1), haversine_nm(lat, lon, lat2, lon2), *along)
 
 
+def ring_centroid(ring: Column) -> Column:
+    """Area centroid of a closed ring of structs (x, y); its first point where it has under 3 points or no area."""
+    first = F.get(ring, F.lit(0))
+    zero = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(s: Column, i: Column) -> Column:
+        p, q = F.get(ring, i), F.get(ring, i + 1)
+        cross = p["x"] * q["y"] - q["x"] * p["y"]
+        return F.struct((s["area"] + cross).alias("area"), (s["x"] + (p["x"] + q["x"]) * cross).alias("x"), (s["y"] + (p["y"] + q["y"]) * cross).alias("y"))
+
+    def end(s: Column) -> Column:
+        return F.when((F.size(ring) < 3) | (F.abs(s["area"]) < 1e-12), first).otherwise(F.struct((s["x"] / (3 * s["area"])).alias("x"), (s["y"] / (3 * s["area"])).alias("y")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(ring) - 2, F.lit(0))), zero, add, end)
+
+
+def bbox_of_points(points: DataFrame, key: str) -> DataFrame:
+    """(key, west, south, east, north) of points (key, lat, lon) on the globe; east may pass 180 over the antimeridian."""
+    held = points.where(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90)).withColumn("turned", F.pmod("lon", F.lit(360.0)))
+    ends = [f("lon").alias(a) for f, a in ((F.min, "w"), (F.max, "e"))] + [f("turned").alias(a) for f, a in ((F.min, "w2"), (F.max, "e2"))]
+    box = held.groupBy(key).agg(*ends, F.min("lat").alias("south"), F.max("lat").alias("north"))
+    w, e, w2, e2 = (F.col(c) for c in ("w", "e", "w2", "e2"))
+    wraps = (e - w > 180) & (e2 - w2 > 1e-6) & (e2 - w2 < e - w)
+    west = F.when(w2 > 180, w2 - 360).otherwise(w2)
+    east = F.when(e2 > 180, e2 - 360).otherwise(e2)
+    return box.select(key, F.when(wraps, west).otherwise(w).alias("west"), "south", F.when(~wraps, e).when(east < west, east + 360).otherwise(east).alias("east"), "north")
+
+
 def gale_probability(lat: Column, month: Column) -> Column:
     """Gale probability by latitude band and month."""
     return (

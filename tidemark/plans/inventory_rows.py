@@ -485,3 +485,57 @@ def arr_13(spark, d):
     """Whether a number stands in a text on its own."""
     pattern = F.concat(F.lit("(^|[^0-9.])"), (F.col("doc_id") % 10).cast("string"), F.lit("([^0-9.]|$)"))
     return table(spark, d, "documents").select("doc_id", F.regexp_like(F.coalesce("text", F.lit("")), pattern).alias("found"))
+
+
+# ---- geometry and text of single rows --------------------------------------------------------------
+
+_NEXT = "(c_custkey + 1)"
+
+
+@register(
+    "geo_03_haversine_metres",
+    f"SELECT c_custkey, round({_hav(LAT.format(k='c_custkey'), LON.format(k='c_custkey'), LAT.format(k=_NEXT), LON.format(k=_NEXT), geo.EARTH_METRES)} / {geo.NM_METRES}, 6) AS nm FROM customer",
+)
+def geo_03(spark, d):
+    """Distance of each port to the next key's point, by the radius in metres."""
+    k = F.col("c_custkey")
+    return _points(table(spark, d, "customer"), "c_custkey").select("c_custkey", F.round(geo.haversine_metres(F.col("lat"), F.col("lon"), geo.synthetic_lat(k + 1), geo.synthetic_lon(k + 1)) / geo.NM_METRES, 6).alias("nm"))
+
+
+@register(
+    "geo_21_ring_centroid",
+    f"SELECT c_custkey, round({LON.format(k='c_custkey')} + CASE WHEN w = 0 THEN 0 ELSE 4 * w / 9 END, 6)::DOUBLE AS lon, round({LAT.format(k='c_custkey')} + CASE WHEN w = 0 THEN 0 ELSE 7 * w / 9 END, 6)::DOUBLE AS lat FROM (SELECT c_custkey, (c_custkey % 9)::DOUBLE AS w FROM customer)",
+)
+def geo_21(spark, d):
+    """Centroid of a ring of five points; rings without area (width 0) give their first point. The oracle has it in closed form."""
+    c = _points(table(spark, d, "customer"), "c_custkey").withColumn("w", (F.col("c_custkey") % 9).cast("double"))
+    x, y, w = F.col("lon"), F.col("lat"), F.col("w")
+    ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + w, y), (x + w, y + w), (x, y + 2 * w), (x, y))])
+    at = geo.ring_centroid(F.col("ring"))
+    return c.select("c_custkey", ring.alias("ring")).select("c_custkey", at.alias("at")).select("c_custkey", F.round("at.x", 6).alias("lon"), F.round("at.y", 6).alias("lat"))
+
+
+_BOX = f"SELECT c_custkey % 500 AS box, {LON.format(k='c_custkey')} AS lon, {LAT.format(k='c_custkey')} AS lat FROM customer"
+_BOXES = f"SELECT box, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n, min(CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) AS w2, max(CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) AS e2 FROM ({_BOX}) GROUP BY box"
+_SHIFT = f"SELECT *, e - w > 180 AND e2 - w2 > 1e-6 AND e2 - w2 < e - w AS wraps, CASE WHEN w2 > 180 THEN w2 - 360 ELSE w2 END AS w3, CASE WHEN e2 > 180 THEN e2 - 360 ELSE e2 END AS e3 FROM ({_BOXES})"
+
+
+@register("geo_23_bbox_of_pairs", f"SELECT box, round(CASE WHEN wraps THEN w3 ELSE w END, 6) AS west, round(s, 6) AS south, round(CASE WHEN NOT wraps THEN e WHEN e3 < w3 THEN e3 + 360 ELSE e3 END, 6) AS east, round(n, 6) AS north FROM ({_SHIFT})")
+def geo_23(spark, d):
+    """Bounding box of each group of points, over the antimeridian where that is narrower: minima and maxima combine before the shuffle."""
+    found = geo.bbox_of_points(_points(table(spark, d, "customer"), "c_custkey").withColumn("box", F.col("c_custkey") % 500), "box")
+    return found.select("box", *[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")])
+
+
+#: Words of a navigation rule.
+NAVIGATION_WORDS = r"vhf|canal|channel|interdiction|no[\s-]?anchor|mouill|port d['’]entr|tirant|draft|draught|harbour.?master"
+_EDGE = r"[^\p{L}\p{N}_]"
+_RULE = rf"(?i)(^|{_EDGE})({NAVIGATION_WORDS})({_EDGE}|$)"
+_RULE_SQL = _RULE.replace("'", "''")
+
+
+@register("str_28_navigation_rule", f"SELECT doc_id, regexp_matches(coalesce(text, ''), '{_RULE_SQL}') OR doc_id % 7 = 0 AS rule FROM documents")
+def str_28(spark, d):
+    """Whether a text states a navigation rule; every seventh text gets such a sentence, for the tables may hold none."""
+    said = F.when(F.col("doc_id") % 7 == 0, F.concat_ws(" ", "text", F.lit("VHF channel 12"))).otherwise(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", said.rlike(_RULE).alias("rule"))
