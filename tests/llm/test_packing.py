@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,16 @@ def test_many_sources_are_queues_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(packing, "MAX_QUEUES", 500)
     with pytest.raises(ValueError, match="different sources"):
         packing.pack_documents(df)
+
+
+def test_word_memory_that_overflows(monkeypatch):
+    """The same ids whether words are remembered, forgotten between slices, or never held at all."""
+    slices = [pa.array(["the sea the sea", None, ""]), pa.array(["a Sea; of words, 12 words", "the sea"]), pa.array([], pa.string()), pa.array(["words of the sea again", "été <|endoftext|> x"])]
+    tok = bpe.tokenizer(bpe.default_vocabulary())
+    for bound in (600_000, 5, 0):
+        monkeypatch.setattr(packing, "REMEMBERED", bound)
+        memory = packing.WordIds(bpe.default_vocabulary())
+        for texts in slices:
+            offsets, ids = memory.encode(texts)
+            for k, t in enumerate(texts.to_pylist()):
+                assert np.array_equal(ids[offsets[k] : offsets[k + 1]], tok.encode(t or "", add_special_tokens=False).ids)
