@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 #: ASCII white space; every other character belongs to a word.
 SPACES = " \t\n\x0b\x0c\r"
@@ -41,6 +42,27 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that this package has written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str, group: str | None = None) -> DataFrame:
+    """Adds rank, from 1, in the given order, within each value of group (not null) where one is named.
+
+    Rows are dealt by range of group and order and written; a rank is the row's number in its part and
+    group, and the rows of that group in earlier parts. No task holds more than one part.
+    """
+    keys = [group] if group else []
+    placed = materialize(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), name)
+    counts = placed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("_before", before).drop("_n")
+    inside = placed.withColumn("_k", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
+    return inside.join(starts, ["_part", *keys]).withColumn("rank", F.col("_k") + F.col("_before")).drop("_part", "_k", "_before")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

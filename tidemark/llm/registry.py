@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat_format, exact_dedup, language_id, lm_score, minhash, packing, quality_knn, quality_rules, toxicity
+from tidemark.llm import bpe, chat_format, exact_dedup, language_id, line_dedup, lm_score, merkle, minhash, packing, quality_knn, quality_rules, resampling, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_bpe": bpe.op8_bpe,
         "op9_language_id": language_id.op9_language_id,
         "op10_packing": packing.op10_packing,
+        "op11_line_dedup": line_dedup.op11_line_dedup,
+        "op12_resampling": resampling.op12_resampling,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op5_chat_format": chat_format.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op5_chat_format": chat_format.ORACLE, "op11_line_dedup": line_dedup.ORACLE, "op12_resampling": resampling.ORACLE, "op13_merkle": merkle.ORACLE}
