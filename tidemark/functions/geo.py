@@ -14,7 +14,7 @@ EARTH_METRES, NM_METRES = 6371008.8, 1852.0
 def _angle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)
-    return 2 * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * F.asin(F.sqrt(F.when((a > 1) & ~F.isnan(a), 1.0).otherwise(a)))  # null stays null
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
