@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import geo
+from tidemark.functions import geo, text
 from tidemark.operators import matching as match
 from tidemark.sources import sinks, tables
 from tidemark.streaming import events as stream
@@ -96,3 +96,14 @@ def test_navigation_rule_words(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(df.t.rlike(_RULE)).collect()]
     assert got == [bool(re.search(rf"\b({NAVIGATION_WORDS})\b", t, re.I)) for t in texts]
+
+
+def test_urls_without_scheme_and_with_user(spark):
+    rows = ["example.com/list", "other.org/x/", "https://www.A.org:8080/p/?q=1#f", "http://user:pw@host.org/a", "//b.org/c", " n/a ", "host:8080/y", "www.d.org"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(rows)], "k int, u string")
+    u = F.col("u")
+    got = {r.k: r for r in df.select("k", text.hit_key(u).alias("hit"), text.normalized_url(u).alias("norm"), text.listed_key(u).alias("listed"), text.host(u).alias("host")).collect()}
+    assert [got[k].hit for k in range(5)] == ["https://example.com/list", "https://other.org/x", "https://a.org/p", "http://host.org/a", "https://b.org/c"]
+    assert [got[k].norm for k in range(5)] == ["https:///example.com/list", "https:///other.org/x", "https://a.org:8080/p?q=1", "http://host.org/a", "https://b.org/c"]
+    assert [got[k].listed for k in range(8)] == ["https://example.com/list", "https://other.org/x", "https://a.org:8080/p", "http://user:pw@host.org/a", None, None, "https://host:8080/y", "https://d.org"]
+    assert got[3].host == "host.org"

@@ -37,34 +37,57 @@ def spaced_name(text: Column, cap: int = 25) -> Column:
     return F.substring(F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " ")), 1, cap)
 
 
+_SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
+_AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
+
+
+def authority(url: Column) -> Column:
+    """User, host and port as written; empty without `//`."""
+    return F.regexp_extract(url, _AUTHORITY, 1)
+
+
 def host(url: Column) -> Column:
-    """Host of a URL, lower case, without port and www."""
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)), r"^www\.", "")
+    """Host of a URL, lower case, without user, port and www; empty without `//`."""
+    return F.regexp_replace(F.lower(F.regexp_extract(authority(url), r"^(?:.*@)?([^:]*)", 1)), r"^www\.", "")
 
 
 def path(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    """Path of a URL; without `//`, what stands before query and fragment."""
+    return F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
 
 
 def scheme(url: Column) -> Column:
     """Scheme in lower case, https if there is none."""
-    found = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
+    found = F.lower(F.regexp_extract(url, _SCHEME, 1))
     return F.when(found == "", F.lit("https")).otherwise(found)
 
 
 def normalized_url(url: Column) -> Column:
     """Scheme, host without www, ports but 80 and 443, path without trailing slashes, query; no fragment."""
     url = F.trim(url)
-    port = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#:]*:(\d+)", 1)
+    port = F.regexp_extract(authority(url), r":(\d+)$", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     shown = F.when((port == "") | port.isin("80", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    return F.concat(scheme(url), F.lit("://"), host(url), shown, F.regexp_replace(path(url), "/+$", ""), F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+    bare = F.regexp_replace(path(url), "/+$", "")
+    bare = F.when(bare.rlike("^[^/]"), F.concat(F.lit("/"), bare)).otherwise(bare)
+    return F.concat(scheme(url), F.lit("://"), host(url), shown, bare, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
 
 
 def hit_key(url: Column) -> Column:
     """Scheme, host without www, path without trailing slashes (/ if empty); no port, query or fragment."""
-    bare = F.regexp_replace(path(F.trim(url)), "/+$", "")
-    return F.concat(scheme(F.trim(url)), F.lit("://"), host(F.trim(url)), F.when(bare == "", F.lit("/")).otherwise(bare))
+    url = F.trim(url)
+    bare = F.regexp_replace(path(url), "/+$", "")
+    return F.concat(scheme(url), F.lit("://"), host(url), F.when(bare == "", F.lit("/")).otherwise(bare))
+
+
+def listed_key(url: Column) -> Column:
+    """Scheme (https where none is written), user, host without www and port, path without trailing slashes; null without a host."""
+    raw = F.trim(url)
+    none = F.lower(raw).isin("", "null", "none", "n/a", "-", "undefined")
+    whole = F.when(F.contains(raw, F.lit("://")), raw).otherwise(F.concat(F.lit("https://"), raw))
+    at = F.lower(authority(whole))
+    key = F.concat(scheme(whole), F.lit("://"), F.regexp_replace(at, r"^www\.", ""), F.regexp_replace(path(whole), "/+$", ""))
+    return F.when(~none & (at != ""), key)
 
 
 def list_like_score(chunk: Column, pattern: str) -> Column:

@@ -173,12 +173,9 @@ def jon_best_by_suffix(spark, d):
 
 @register("jon_44_similar_vectors", """
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5 AND a.vec_id % 100 = 0""")
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND (a.vec_id < b.vec_id OR (a.vec_id > b.vec_id AND b.vec_id % 100 <> 0)) WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5 AND a.vec_id % 100 = 0""")
 def jon_44(spark, d):
-    """Stated query set (ids divisible by 100) against all vectors of the same label; a pair of two queries comes once.
-
-    The oracle holds partners with a larger id only: it agrees as long as no partner with a smaller id is similar.
-    """
+    """Stated query set (ids divisible by 100) against all vectors of the same label; a pair of two queries comes once."""
     v = table(spark, d, "embeddings")
     a, b = (v.select(F.col("vec_id").alias(x), "label", F.col("embedding").alias(f"e{x}")) for x in "ab")
     return a.where("a % 100 = 0").join(b, "label").where("a < b OR (a > b AND b % 100 <> 0)").withColumn("cosine", match.cosine(F.col("ea"), F.col("eb"))).where("cosine >= 0.5").select("a", "b", F.round("cosine", 5).alias("cosine"))
@@ -437,9 +434,9 @@ def str_01(spark, d):
     return table(spark, d, "documents").select("doc_id", text.normalize_name(F.col("text")).alias("name"))
 
 
-@register("str_02_spaced_name", f"SELECT doc_id, substr(trim(regexp_replace({_FOLD.format(c='substr(text, 1, 60)')}, '[^a-z0-9]+', ' ', 'g')), 1, 25) AS name FROM documents")
+@register("str_02_spaced_name", f"SELECT doc_id, substr(trim(regexp_replace({_FOLD.format(c='text')}, '[^a-z0-9]+', ' ', 'g')), 1, 25) AS name FROM documents")
 def str_02(spark, d):
-    """Names of whole texts. The oracle reads 60 characters: it agrees as long as these fill the cap."""
+    """Names of whole texts."""
     return table(spark, d, "documents").select("doc_id", text.spaced_name(F.col("text")).alias("name"))
 
 

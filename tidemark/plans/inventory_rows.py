@@ -25,22 +25,36 @@ _NORMAL = f"{_SCHEME} || '://' || {_HOST} || CASE WHEN {_PORT} IN ('', '80', '44
 _HIT = f"{_SCHEME} || '://' || {_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END"
 
 
-@register("str_14_normalize_url", f"SELECT page_id, {_NORMAL} AS key FROM pages")
+#: Each page's URL as it is, without its scheme, and with user and port.
+_WRITTEN = """(SELECT page_id, v AS variant, CASE v WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^[a-z]+://', '') ELSE regexp_replace(url, '^([a-z]+)://([^/?#]*)', '\\1://me:pw@\\2:8080') END AS url
+  FROM pages, (VALUES (0), (1), (2)) t(v))"""
+_W_AUTH = "regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1)"
+_W_HOST = f"regexp_replace(lower(regexp_extract({_W_AUTH}, '^(?:.*@)?([^:]*)', 1)), '^www\\.', '')"
+_W_PATH = "CASE variant WHEN 1 THEN rtrim(regexp_extract(url, '^[^?#]*'), '/') ELSE regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') END"
+_W_SCHEME = "CASE variant WHEN 1 THEN 'https' ELSE regexp_extract(url, '^[a-z]+') END"
+
+
+def _urls_as_written(spark, d):
+    url = F.col("url")
+    variants = F.array(url, F.regexp_replace(url, "^[a-z]+://", ""), F.regexp_replace(url, "^([a-z]+)://([^/?#]*)", "$1://me:pw@$2:8080"))
+    return table(spark, d, "pages").select("page_id", F.posexplode(variants).alias("variant", "url"))
+
+
+@register("str_14_normalize_url", f"""SELECT page_id, variant, {_W_SCHEME} || '://' || {_W_HOST} || CASE variant WHEN 2 THEN ':8080' ELSE '' END || CASE variant WHEN 1 THEN '/' ELSE '' END || {_W_PATH}
+  || CASE WHEN {_QUERY} = '' THEN '' ELSE '?' || {_QUERY} END AS key FROM {_WRITTEN}""")
 def str_14(spark, d):
-    return table(spark, d, "pages").select("page_id", text.normalized_url(F.col("url")).alias("key"))
+    return _urls_as_written(spark, d).select("page_id", "variant", text.normalized_url(F.col("url")).alias("key"))
 
 
-@register("str_15_hit_key", f"SELECT page_id, {_HIT} AS key FROM pages")
+@register("str_15_hit_key", f"SELECT page_id, variant, {_W_SCHEME} || '://' || {_W_HOST} || CASE WHEN {_W_PATH} = '' THEN '/' ELSE {_W_PATH} END AS key FROM {_WRITTEN}")
 def str_15(spark, d):
-    return table(spark, d, "pages").select("page_id", text.hit_key(F.col("url")).alias("key"))
+    return _urls_as_written(spark, d).select("page_id", "variant", text.hit_key(F.col("url")).alias("key"))
 
 
-@register("str_16_listed_key", f"SELECT page_id, CASE WHEN lower(trim(url)) IN ('', 'null', 'none', 'n/a', '-', 'undefined') OR {_HOST} = '' THEN NULL ELSE {_SCHEME} || '://' || {_HOST} || {_PATH} END AS key FROM pages")
+@register("str_16_listed_key", f"""SELECT page_id, variant, CASE variant WHEN 1 THEN 'https://' || regexp_replace(lower(split_part({_W_PATH}, '/', 1)), '^www\\.', '') || substr({_W_PATH}, 1 + length(split_part({_W_PATH}, '/', 1)))
+  ELSE {_W_SCHEME} || '://' || regexp_replace(lower({_W_AUTH}), '^www\\.', '') || {_W_PATH} END AS key FROM {_WRITTEN}""")
 def str_16(spark, d):
-    u = F.trim("url")
-    key = F.concat(text.scheme(u), F.lit("://"), text.host(u), F.regexp_replace(text.path(u), "/+$", ""))
-    none = F.lower(u).isin("", "null", "none", "n/a", "-", "undefined") | (text.host(u) == "")
-    return table(spark, d, "pages").select("page_id", F.when(~none, key).alias("key"))
+    return _urls_as_written(spark, d).select("page_id", "variant", text.listed_key(F.col("url")).alias("key"))
 
 
 @register("str_21_url_equivalence", f"SELECT page_id, {_NORMAL} = {_NORMAL.replace('url', 'other')} AS same FROM (SELECT page_id, url, regexp_replace(regexp_replace(url, '#.*$', ''), '^http:', 'HTTP:') || '#here' AS other FROM pages)")
@@ -50,10 +64,10 @@ def str_21(spark, d):
     return table(spark, d, "pages").select("page_id", (text.normalized_url(F.col("url")) == text.normalized_url(other)).alias("same"))
 
 
-@register("set_02_distinct_hits", f"SELECT key, min(page_id) AS page_id FROM (SELECT page_id, {_HIT} AS key FROM pages) GROUP BY key")
+@register("set_02_distinct_hits", f"SELECT key, min(page_id * 3 + variant) AS hit FROM (SELECT page_id, variant, {_W_SCHEME} || '://' || {_W_HOST} || CASE WHEN {_W_PATH} = '' THEN '/' ELSE {_W_PATH} END AS key FROM {_WRITTEN}) GROUP BY key")
 def set_02_hits(spark, d):
-    """First hit of each URL key; hits come in order of page_id."""
-    return table(spark, d, "pages").groupBy(text.hit_key(F.col("url")).alias("key")).agg(F.min("page_id").alias("page_id"))
+    """First hit of each URL key; hits come in order of page_id and variant."""
+    return _urls_as_written(spark, d).groupBy(text.hit_key(F.col("url")).alias("key")).agg(F.min(F.col("page_id") * 3 + F.col("variant")).alias("hit"))
 
 
 @register("flt_26_pdf_path", f"SELECT page_id, {_PATH} ILIKE '%.pdf' AS pdf FROM pages")
@@ -534,7 +548,7 @@ _RULE = rf"(?i)(^|{_EDGE})({NAVIGATION_WORDS})({_EDGE}|$)"
 _RULE_SQL = _RULE.replace("'", "''")
 
 
-@register("str_28_navigation_rule", f"SELECT doc_id, regexp_matches(coalesce(text, ''), '{_RULE_SQL}') OR doc_id % 7 = 0 AS rule FROM documents")
+@register("str_28_navigation_rule", f"SELECT doc_id, regexp_matches(CASE WHEN doc_id % 7 = 0 THEN concat_ws(' ', text, 'VHF channel 12') ELSE coalesce(text, '') END, '{_RULE_SQL}') AS rule FROM documents")
 def str_28(spark, d):
     """Whether a text states a navigation rule; every seventh text gets such a sentence, for the tables may hold none."""
     said = F.when(F.col("doc_id") % 7 == 0, F.concat_ws(" ", "text", F.lit("VHF channel 12"))).otherwise(F.coalesce("text", F.lit("")))
