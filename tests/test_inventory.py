@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import catalog, inventory, inventory_fuzzy, inventory_more, inventory_review, inventory_rows, inventory_sea  # noqa: F401
+from tidemark.plans import catalog, inventory, inventory_fuzzy, inventory_more, inventory_review, inventory_rows, inventory_sea, inventory_zones  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
