@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import catalog, inventory, inventory_fuzzy, inventory_more, inventory_review, inventory_rows, inventory_sea, inventory_zones  # noqa: F401
+from tidemark.plans import catalog, inventory, inventory_audit, inventory_fuzzy, inventory_more, inventory_review, inventory_rows, inventory_sea, inventory_zones  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -24,7 +24,11 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+#: Queries whose results hang on random draws; tests/test_anomalies.py compares them with plain loops.
+WITHOUT_ORACLE = {"agg_48_spatial_anomalies", "agg_50_isolation_scores"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - WITHOUT_ORACLE))
 def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     found = duck.execute(catalog.oracle_sql()[name])
@@ -34,4 +38,4 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(catalog.oracle_sql()) == set(catalog.queries())
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == WITHOUT_ORACLE
