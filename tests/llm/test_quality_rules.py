@@ -85,3 +85,15 @@ def test_verdicts(spark):
 
 def test_empty(spark):
     assert Q.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_small_groups_are_judged_by_their_language_or_all(spark):
+    """A source of few rows in a large language, and a language of few rows: nothing else is small."""
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    prose = lambda: " ".join(word() for _ in range(r.randint(50, 90))) + "."
+    junk = lambda: " ".join(f"{word().upper()}{r.choice('#*$%&|')}{r.choice('#*$%&|')}" for _ in range(60))
+    rows = [(k, prose(), "en", "large") for k in range(300)] + [(1000, junk(), "en", "tiny"), (1001, prose(), "en", "tiny"), (1002, junk(), "xx", "tiny"), (1003, prose(), "xx", "tiny")]
+    got = {x["doc_id"]: x for x in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("doc_id >= 1000").collect()}
+    assert not any(x["base_failed"] or x["distance2"] is None for x in got.values())
+    assert {k: x["kept"] for k, x in got.items()} == {1000: False, 1001: True, 1002: False, 1003: True}
