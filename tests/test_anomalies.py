@@ -22,7 +22,7 @@ def km(a, b):
 
 def test_scores_are_those_of_a_plain_walk_and_outliers_come_first(spark):
     r = random.Random(3)
-    rows = [(k, r.gauss(0, 1), r.gauss(0, 1)) for k in range(1500)] + [(2000, 9.0, -9.0), (2001, -12.0, 0.0)]
+    rows = [(k, r.gauss(0, 1), r.gauss(0, 1)) for k in range(1500)] + [(2000, 9.0, -9.0), (2001, -12.0, 11.0)]
     df = spark.createDataFrame(rows, "id int, a double, b double")
     forest, seen = an.grow_forest(df, "id", ["a", "b"], trees=60)
     assert seen == 256 and len(forest) == 60 and max(len(t["feature"]) for t in forest) < 512

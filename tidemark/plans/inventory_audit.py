@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
-from tidemark.operators import anomalies
+from tidemark.operators import anomalies, spread
 from tidemark.plans.catalog import register
 from tidemark.plans.inventory import LAT, LON, _hav
 from tidemark.sources.tables import table
@@ -59,3 +59,10 @@ def agg_50(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
     forest, seen = anomalies.grow_forest(p, "id", ["size", "price"])
     return p.select("id", F.round(anomalies.isolation_score(forest, seen, ["size", "price"]), 6).alias("score"))
+
+
+@register("agg_51_group_diameter", f"""
+WITH {_PORTS}, m AS (SELECT a.zone, max({_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS km FROM p a JOIN p b ON a.zone = b.zone AND a.id <= b.id GROUP BY a.zone)
+SELECT zone, (SELECT count(*) FROM p WHERE p.zone = m.zone) AS n, round(km, 4) AS km FROM m""")
+def agg_51(spark, d):
+    return spread.diameters(ports(spark, d).withColumnRenamed("zone", "group")).select(F.col("group").alias("zone"), "n", F.round("km", 4).alias("km"))
