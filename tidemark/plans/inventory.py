@@ -18,7 +18,8 @@ from tidemark.plans.catalog import register
 from tidemark.sources.tables import table
 
 LAT, LON = "((({k}*7919) % 18000)/100.0-90.0)", "((({k}*104729) % 36000)/100.0-180.0)"
-HAV = "(2*{r}*asin(sqrt(least(1.0, pow(sin(radians({b}-({a}))/2),2)+cos(radians({a}))*cos(radians({b}))*pow(sin(radians({d}-({c}))/2),2)))))"
+_HALF = "pow(sin(radians({b}-({a}))/2),2)+cos(radians({a}))*cos(radians({b}))*pow(sin(radians({d}-({c}))/2),2)"
+HAV = f"(2*{{r}}*asin(sqrt(CASE WHEN {_HALF} > 1 THEN 1.0 ELSE {_HALF} END)))"  # least() would turn null into half the globe
 
 
 def _hav(a: str, c: str, b: str, d: str, r: float = geo.EARTH_KM) -> str:
