@@ -158,14 +158,24 @@ def flt_16(spark, d):
     return table(spark, d, "customer").select("c_custkey", p.alias("p")).select("c_custkey", F.coalesce(ok, F.lit(False)).alias("valid"))
 
 
-@register("flt_24_foreign_government", f"SELECT page_id, CASE WHEN length(s) = 2 AND s <> 'fr' THEN true ELSE s = 'gov' END AS is_foreign FROM (SELECT page_id, h, regexp_extract(h, '([^.]*)$', 1) AS s FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'customs.gov' WHEN 1 THEN 'douane.fr' WHEN 2 THEN 'customs.ph' ELSE {_HOST} END AS h FROM pages)) WHERE page_id % 4 < 3")
+#: Fixed value: words that mark an official site.
+OFFICIAL = r"gov|gouv|gob|douane|customs|aduana|zoll|immigration|border|maritime|port.?authority|coast.?guard|admin"
+
+
+@register("flt_24_foreign_government", f"""
+SELECT page_id, v AS variant, regexp_matches(h, '(?i){OFFICIAL}') AND ((length(s) = 2 AND s <> 'fr') OR s = 'gov') AS is_foreign
+FROM (SELECT page_id, v, h, lower(split_part(h, '.', -1)) AS s FROM (
+  SELECT page_id, v, CASE v WHEN 0 THEN host WHEN 1 THEN 'customs.' || split_part(host, '.', 1) || '.gov' WHEN 2 THEN 'douane.' || split_part(host, '.', 1) || '.fr' ELSE split_part(host, '.', 1) || '.gov.ph' END AS h
+  FROM (SELECT page_id, {_HOST} AS host FROM pages), (VALUES (0), (1), (2), (3)) t(v)))""")
 def flt_24(spark, d):
-    """State sites of a country other than France."""
-    k = F.col("page_id") % 4
-    h = F.when(k == 0, F.lit("customs.gov")).when(k == 1, F.lit("douane.fr")).otherwise(F.lit("customs.ph"))
-    suffix = F.substring_index(h, ".", -1)
+    """State sites of a country other than France: each page's host, and its first label under domains of three states."""
+    host = text.host(F.col("url"))
+    label = F.substring_index(host, ".", 1)
+    domains = F.array(host, F.concat(F.lit("customs."), label, F.lit(".gov")), F.concat(F.lit("douane."), label, F.lit(".fr")), F.concat(label, F.lit(".gov.ph")))
+    each = table(spark, d, "pages").select("page_id", F.posexplode(domains).alias("variant", "domain"))
+    suffix = F.lower(F.substring_index("domain", ".", -1))
     foreign = ((F.length(suffix) == 2) & ~suffix.isin("fr")) | ((suffix == "gov") & ~F.array_contains(F.array(F.lit("fr")), "us"))
-    return table(spark, d, "pages").where(k < 3).select("page_id", (h.rlike(r"(?i)gov|customs|douane") & foreign).alias("is_foreign"))
+    return each.select("page_id", "variant", (F.col("domain").rlike(f"(?i){OFFICIAL}") & foreign).alias("is_foreign"))
 
 
 @register("flt_35_stale_zone", "SELECT event_id, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-03-01 00:00:00') > 30 * 86400 AS stale FROM events")
