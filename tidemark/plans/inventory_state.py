@@ -18,11 +18,11 @@ from tidemark.sources.tables import table
 _KEYS = ["i", "j"]
 
 
-def samples(spark, d):
+def samples(spark, d, *more):
     """Chunk and cell of each sample; returned items of few pieces have no height."""
     li = table(spark, d, "lineitem")
     hs = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 5), None).otherwise(F.col("l_quantity") / 4)
-    return li.select((F.col("l_suppkey") % 10).alias("i"), F.col("l_linenumber").alias("j"), hs.alias("hs"), (F.col("l_extendedprice") / 5000).alias("period"), (F.col("l_discount") * 3000).alias("direction"), F.col("l_returnflag").alias("chunk"))
+    return li.select((F.col("l_suppkey") % 10).alias("i"), F.col("l_linenumber").alias("j"), hs.alias("hs"), (F.col("l_extendedprice") / 5000).alias("period"), (F.col("l_discount") * 3000).alias("direction"), F.col("l_returnflag").alias("chunk"), *more)
 
 
 def _sql_percentile(bins: str, q: float, width: float) -> str:
