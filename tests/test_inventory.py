@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import catalog, inventory, inventory_audit, inventory_fuzzy, inventory_grids, inventory_more, inventory_pages, inventory_retrieval, inventory_review, inventory_rows, inventory_sea, inventory_state, inventory_zones  # noqa: F401
+from tidemark.plans import catalog, inventory, inventory_audit, inventory_fuzzy, inventory_grids, inventory_more, inventory_pages, inventory_ports, inventory_retrieval, inventory_review, inventory_rows, inventory_sea, inventory_state, inventory_zones  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
