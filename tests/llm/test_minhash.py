@@ -113,6 +113,38 @@ def test_shingles_of_slices():
         assert np.diff(o).tolist() == [len(shingles(t, 2)) for t in texts[at:]]
 
 
+def test_signatures():
+    """Bits differ as often as the similarity says, for sets of any size; the bound leaves out one pair in 1 / MISS."""
+    r = np.random.default_rng(2)
+    for size in (9, 900):
+        pool = r.integers(0, 1 << 63, (400, size)).astype(np.uint64) * np.uint64(2)
+        sets = np.concatenate([pool[:, : size * 8 // 9], pool[:, size // 9 :]])
+        sig = M.signatures(np.arange(801) * (size * 8 // 9), sets.ravel(), 4)
+        unlike = np.bitwise_count(sig[:400] ^ sig[400:]).sum(1)
+        assert abs(unlike.mean() / 256 - 1 / 9) < 0.01 and unlike.max() <= M.most_unlike(256, 7 / 9)
+        assert np.bitwise_count(sig[:400] ^ np.roll(sig[:400], 1, 0)).sum(1).min() > M.most_unlike(256, 0.8)
+    assert not M.signatures(np.array([0, 0, 3, 3]), np.arange(3, dtype=np.uint64), 1)[[0, 2]].any()
+    assert M.most_unlike(64, 1.0) == 0 and M.most_unlike(64, 0.8) < M.most_unlike(64, 0.5) < 64
+
+
+def test_rows_of_a_large_near_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Near copies whose base is gone: many are linked with none, and still only few pairs become rows."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    base = [r.choice(words) for _ in range(150)]
+    share = [0.01, 0.03, 0.06, 0.09]
+    rows = [(i, " ".join(w if r.random() > share[i % 4] else r.choice(words) for w in base)) for i in range(400)]
+    steps, rows_of = [], {}
+    monkeypatch.setattr(M, "materialize", lambda df, name, *a, keep=M.materialize: steps.append((name, keep(df, name, *a))) or steps[-1][1])
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=2).collect()
+    assert {x["doc_id"]: tuple(x)[1:] for x in got} == brute(rows, 2)
+    for name, table in steps:
+        rows_of[name] = max(rows_of.get(name, 0), table.count())
+    assert 20 < sum(x["kept"] for x in got) < 380 and rows_of["group-sets"] > 100
+    assert all(rows_of.get(name, 0) < 24 * len(rows) for name in ("pairs", "promising", "rest-pairs", "rest-near", "group-links"))
+    assert "rest-pairs" not in rows_of and rows_of["group-links"] < len(rows)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 460)] + [(500, 501 + k) for k in range(50)]

@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round is a pair of joins and minimum-aggregations; joins salt the hubs of stars; edges stay in tables of the shared folder,
-and only two numbers a round reach the driver. At the end each node points to the smallest node of
+and only whether any node is left to move reaches the driver. At the end each node points to the smallest node of
 its component.
 """
 
@@ -28,21 +28,17 @@ def _small_star(e: DataFrame) -> DataFrame:
     return met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def _print(e: DataFrame) -> tuple:
-    r = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-    return tuple(r)
+def _settled(e: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour at most, and that one none."""
+    ends = e.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b): each node a but the smallest of a component, with that smallest b. links: columns a, b (bigint)."""
-    e = materialize(links.select("a", "b").where("a <> b").distinct(), "edges")
-    last = _print(e)
-    if not last[0]:
-        return e
+    e = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(MAX_ROUNDS):
-        e = materialize(_small_star(_large_star(e)), "edges")
-        now = _print(e)
-        if now == last:
+        if _settled(e):
             return e
-        last = now
+        e = materialize(_small_star(_large_star(e)), "edges")
     raise RuntimeError("components did not settle")

@@ -43,20 +43,17 @@ from pyspark.sql import functions as F
 from tidemark.llm import blocks as B
 from tidemark.llm.common import materialize, read_table, salted_join, ship_package
 from tidemark.llm.components import components
+from tidemark.llm.key_filter import key_filter, may_hold
 
 K = 64
 #: Values are counted in about as many cells as there are values, 1 byte each, at most MAX_CELLS.
 MAX_CELLS, SHARDS = 1 << 25, 64
-#: Bits of the filter that says which classes cannot be asked for.
-FILTER_BITS = 1 << 26
 #: Chance that a pair just at the similarity shares fewer retained values than lists ask for.
 MISS = 1e-7
 #: Lists up to this length give all pairs at once.
 SHORT_LIST = 40
-#: Classes that members of long lists are compared with in each round before the rest is compared in full.
-PIVOTS, PIVOT_ROUNDS = 8, 2
-#: Members of a block when the rest of a long list is compared.
-BLOCK = 1024
+#: Members of a block when the rest of a long list is compared, words of their signatures, and bytes of full sets in a block of a group.
+BLOCK, REST_WORDS, GROUP_BYTES = 1024, 4, 1 << 18
 #: Keys with at least this share of all rows are broadcast: there are at most MAX_HOT of them.
 MAX_HOT = 1 << 16
 SLICE_BYTES = 2 << 20
@@ -97,7 +94,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, set_id, sketch) of docs (doc_id, text, text_hash)."""
+    """(doc_id, text_hash, n_shingles, set_id, sketch, sig) of docs (doc_id, text, text_hash)."""
 
     def run(batches):
         for b in _slices(batches):
@@ -105,11 +102,11 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
             raw, cuts = s.tobytes(), list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
             ids = [hashlib.blake2b(raw[8 * a : 8 * e], digest_size=16).digest() for a, e in cuts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(ids, pa.binary()), pa.array([raw[8 * a : 8 * min(e, a + K)] for a, e in cuts], pa.binary())],
-                ["doc_id", "text_hash", "n_shingles", "set_id", "sketch"],
+                [b.column(0), b.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(ids, pa.binary()), pa.array([raw[8 * a : 8 * min(e, a + K)] for a, e in cuts], pa.binary()), pa.array(signatures(offsets, s, 1)[:, 0].view(np.int64))],
+                ["doc_id", "text_hash", "n_shingles", "set_id", "sketch", "sig"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, sketch binary, sig long")
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -147,40 +144,22 @@ def rarity(sets: DataFrame, values: int) -> np.ndarray:
     return out
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    """Two places of each id in the filter."""
-    h = B.mix(ids.astype(np.int64).view(np.uint64), 23)
-    return np.concatenate([h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)]).astype(np.int64)
-
-
-def _filter(ids: DataFrame):
-    """Broadcast bits of ids (one bigint column). It has a fixed size: with very many ids it lets more pass, and joins drop these."""
-    width = FILTER_BITS // SHARDS
-
-    def mark(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            bits[_bits(np.asarray(b.column(0)))] = True
-        for k in range(SHARDS):
-            at = np.flatnonzero(bits[k * width : (k + 1) * width])
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([B.pack_ints(np.diff(at, prepend=0).astype(np.uint32))], pa.binary())], ["shard", "at"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        bits = np.zeros(width, bool)
-        for at in rows.column("at"):
-            bits[np.cumsum(B.unpack_ints(at.as_py(), np.uint32), dtype=np.int64)] = True
-        return pa.table({"shard": rows.column("shard").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for shard, bits in ids.mapInArrow(mark, "shard int, at binary").groupBy("shard").applyInArrow(add, "shard int, bits binary").collect():
-        out[shard * width // 8 : (shard + 1) * width // 8] = np.frombuffer(bytes(bits), np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(out)
+def signatures(offsets: np.ndarray, values: np.ndarray, words: int) -> np.ndarray:
+    """64 * words bits of each set: a bit of its least value under as many hash functions. A pair has each bit alike with chance (1 + similarity) / 2."""
+    out, full = np.zeros((len(offsets) - 1, words), np.uint64), np.flatnonzero(np.diff(offsets))
+    odd = B.mix(np.arange(1, 64 * words + 1), 77) | np.uint64(1)
+    for f in range(64 * words if len(full) else 0):
+        least = np.minimum.reduceat(values * odd[f], offsets[:-1][full])
+        out[full, f // 64] |= (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)) << np.uint64(f % 64)
+    return out
 
 
-def _may_hold(bits, ids: np.ndarray) -> np.ndarray:
-    at = _bits(ids)
-    hit = (bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-    return (hit[: len(ids)] & hit[len(ids) :]).astype(bool)
+def most_unlike(bits: int, similarity: float) -> int:
+    """Bits of a signature in which a pair of the similarity asked for differs at most, but for a chance of MISS."""
+    share, tail, most = (1 - similarity) / 2, 0.0, bits
+    while most and (tail := tail + math.comb(bits, most) * share**most * (1 - share) ** (bits - most)) <= MISS:
+        most -= 1
+    return most
 
 
 def least_overlap(sizes: np.ndarray, similarity: float, k: int = K) -> np.ndarray:
@@ -196,15 +175,16 @@ def least_overlap(sizes: np.ndarray, similarity: float, k: int = K) -> np.ndarra
 
 
 def _postings(sets: DataFrame, order, similarity: float, whole: bool) -> DataFrame:
-    """(key, cid, n, own, place) of the rarest values of sets (cid, n, data): as many as a shared one is certainly among.
+    """(key, cid, n, own, place, sig) of the rarest values of sets (cid, n, data, sig): as many as a shared one is certainly among.
 
-    own: share of values that no other set seems to hold; place: values before this one. whole: data holds full sets, not sketches.
+    own: share of values that no other set seems to hold; place: values before this one. whole: data holds full sets, not sketches; then sig is not read but made, of REST_WORDS words.
     """
 
     def run(batches):
         for b in batches:
             ids, sizes = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)
             held, values = _values(b.column(2))
+            sig = pa.array([x.tobytes() for x in signatures(np.concatenate([[0], np.cumsum(held)]), values, REST_WORDS)], pa.binary()) if whole else b.column(3)
             owner = np.repeat(np.arange(len(held)), held)
             size = order.value[values & np.uint64(len(order.value) - 1)]
             at = np.lexsort((values, size, owner))
@@ -215,11 +195,11 @@ def _postings(sets: DataFrame, order, similarity: float, whole: bool) -> DataFra
             keep = (place < (held - least + 1)[owner]) & (size > 0)  # a value alone in its cell is in no other set
             o = owner[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values[keep].view(np.int64)), pa.array(ids[o], pa.int64()), pa.array(sizes[o]), pa.array(own[o]), pa.array(place[keep], pa.int64())],
-                ["key", "cid", "n", "own", "place"],
+                [pa.array(values[keep].view(np.int64)), pa.array(ids[o], pa.int64()), pa.array(sizes[o]), pa.array(own[o]), pa.array(place[keep], pa.int64()), sig.take(pa.array(o))],
+                ["key", "cid", "n", "own", "place", "sig"],
             )
 
-    return sets.select("cid", "n", "data").mapInArrow(run, "key long, cid long, n long, own double, place long")
+    return sets.select("cid", "n", "data", *["sig"] * (not whole)).mapInArrow(run, "key long, cid long, n long, own double, place long, sig " + ("binary" if whole else "long"))
 
 
 def _with_lists(rows: DataFrame, lists: DataFrame, total: int) -> DataFrame:
@@ -261,11 +241,11 @@ def _passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, simila
 
 def _promising(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that the union-sketch estimate lets pass."""
-    asked = _filter(pairs.select(F.explode(F.array("a", "b")).alias("cid")))
+    asked = key_filter(pairs.select(F.explode(F.array("a", "b")).alias("cid")))
 
     def pick(batches):
         for b in batches:
-            yield b.filter(pa.array(_may_hold(asked, np.asarray(b.column(0)))))
+            yield b.filter(pa.array(may_hold(asked, np.asarray(b.column(0)))))
 
     c = materialize(classes.select("cid", "n", "data").mapInArrow(pick, "cid long, n long, data binary"), "asked", "none")
     met = salted_join(pairs.select("a", "b"), c.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("data").alias("sb")), "b", "a")
@@ -286,11 +266,11 @@ def _full_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
 
     Texts stay where they lie: sets are built of those that the filter cannot rule out, and these meet the classes.
     """
-    asked = _filter(classes.select("cid"))
+    asked = key_filter(classes.select("cid"))
 
     def build(batches):
         for b in _slices(batches):
-            b = b.filter(pa.array(_may_hold(asked, np.asarray(b.column(0)))))
+            b = b.filter(pa.array(may_hold(asked, np.asarray(b.column(0)))))
             offsets, s = shingle_sets(b.column(1), n)
             raw, cuts = s.tobytes(), list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
             sets = pa.array([raw[8 * a : 8 * e] for a, e in cuts], pa.binary())
@@ -321,8 +301,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(met.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
 
 
-def _rest_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) across components, of the classes rest (cid, comp), that prefixes of the full sets cannot rule out."""
+def _spanning(left: np.ndarray, right: np.ndarray, label: np.ndarray, linked) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows left and right, as few as join what all links would join. label: group of each row; linked(x): which of right row x links to."""
+    out = []
+    for x in left:
+        open_ = label[right] != label[x]
+        if open_.any():
+            y = right[linked(x) & open_]
+            found, first = np.unique(label[y], return_index=True)
+            out += [(x, k) for k in y[first]]
+            label[np.isin(label, found)] = label[x]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _ordered(cid: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.minimum(cid[x], cid[y]), pa.int64()), pa.array(np.maximum(cid[x], cid[y]), pa.int64())]
+
+
+def _rest_groups(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(cid, g): groups of the classes rest (cid, comp). Pairs across components that neither prefixes of the full sets nor signatures rule out lie in one group."""
     held = materialize(sets.join(rest.hint("merge"), "cid"), "rest-sets", "none")
     order = held.sparkSession.sparkContext.broadcast(rarity(held.select("data"), held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     posted = materialize(_postings(held, order, similarity, True).join(rest, "cid"), "rest-postings")
@@ -331,10 +329,10 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     left = (F.col("n") - F.col("place")) / F.col("n")
     parts = F.ceil(F.col("members") / BLOCK)
     blk = F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64("cid"), parts) * 8 + F.least(F.floor((1 - left) / (1 - similarity) * 8), F.lit(7)))
-    rows = _with_lists(posted, lists.select("key", "members"), posted.count()).select("key", blk.alias("blk"), "cid", "comp", "n", (F.col("n") - F.col("place")).alias("left"))
+    rows = _with_lists(posted, lists.select("key", "members"), posted.count()).select("key", blk.alias("blk"), "cid", "comp", "n", (F.col("n") - F.col("place")).alias("left"), "sig")
     blocks = materialize(
         rows.groupBy("key", "blk").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("left").alias("most"), F.collect_list(F.struct("cid", "comp", "n", "left")).alias("m")
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("left").alias("most"), F.collect_list(F.struct("cid", "comp", "n", "left", "sig")).alias("m")
         ),
         "list-blocks",
     )
@@ -345,16 +343,58 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     meet = short.join(other, "key").where("blk <= blk2 AND NOT (low = high AND low2 = high2 AND low = low2)").where(enough).select("key", "blk", "blk2")
     met = meet.join(blocks.select("key", "blk", "m"), ["key", "blk"]).join(blocks.select("key", F.col("blk").alias("blk2"), F.col("m").alias("m2")), ["key", "blk2"])
 
+    most = most_unlike(64 * REST_WORDS, similarity)
+
     def run(batches):
         for b in batches:
-            for left, right in zip(b.column(0), b.column(1)):
-                (ca, oa, na, la), (cb, ob, nb, lb) = ([np.asarray(v.field(x)) for x in ("cid", "comp", "n", "left")] for v in (left.values, right.values))
-                need = share * (na[:, None] + nb[None]) - 1e-9
-                fits = np.minimum(na[:, None], nb[None]) >= similarity * np.maximum(na[:, None], nb[None]) - 1e-9
-                i, j = np.nonzero((oa[:, None] != ob[None]) & (np.minimum(la[:, None], lb[None]) >= need) & fits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ca[i], cb[j]), pa.int64()), pa.array(np.maximum(ca[i], cb[j]), pa.int64())], ["a", "b"])
+            for k, other, left, right in zip(*b.columns):
+                sides = [left.values] if k == other else [left.values, right.values]
+                cid, comp, n, rest_n = (np.concatenate([np.asarray(v.field(x)) for v in sides]) for x in ("cid", "comp", "n", "left"))
+                sig = np.concatenate([_values(v.field("sig"))[1] for v in sides]).reshape(-1, REST_WORDS)
+                rows = np.arange(len(left.values))
+                cols = rows if k == other else np.arange(len(rows), len(cid))
+
+                def near(x):
+                    fits = (comp[cols] != comp[x]) & (np.minimum(n[cols], n[x]) >= similarity * np.maximum(n[cols], n[x]) - 1e-9)
+                    enough = np.minimum(rest_n[cols], rest_n[x]) >= share * (n[cols] + n[x]) - 1e-9
+                    return fits & enough & (np.bitwise_count(sig[cols] ^ sig[x]).sum(1) <= most)
+
+                yield pa.RecordBatch.from_arrays(_ordered(cid, *_spanning(rows, cols, np.arange(len(cid)), near)), ["a", "b"])
+
+    found = components(materialize(met.select("blk", "blk2", "m", "m2").mapInArrow(run, "a long, b long").distinct(), "rest-near"))
+    return found.select(F.col("a").alias("cid"), F.col("b").alias("g")).unionByName(found.select(F.col("b").alias("cid"), F.col("b").alias("g")).distinct())
+
+
+def _group_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components within groups, of members (g, cid, comp, data): as few as join what all links would join.
+
+    Each two blocks of a group meet with their full sets; pairs never are rows.
+    """
+    parts = F.least(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("data")) / GROUP_BYTES)), F.count(F.lit(1)))
+    dealt = salted_join(members, members.groupBy("g").agg(parts.alias("parts")), "g", "cid").withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("parts")))
+    dealt = dealt.select("g", "cid", "comp", "data", "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cid", "comp", "data", "blk")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        i, j, cid, comp, blk = (np.asarray(rows.column(x)) for x in ("i", "j", "cid", "comp", "blk"))
+        held, values = _values(rows.column("data"))
+        codes, ends = np.unique(values, return_inverse=True)[1], np.cumsum(held)
+        left, right = np.flatnonzero(blk == i[0]), np.flatnonzero(blk == j[0])
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        across = codes[np.repeat(blk == j[0], held)]
+        starts, flag = np.cumsum(held[right]) - held[right], np.zeros(len(codes), bool)
+
+        def linked(x):
+            own = codes[ends[x] - held[x] : ends[x]]
+            flag[own] = True
+            both = np.add.reduceat(flag[across], starts, dtype=np.int64)
+            flag[own] = False
+            return 100 * both >= percent * (held[x] + held[right] - both)
+
+        return pa.table(dict(zip("ab", _ordered(cid, *_spanning(left, right, np.unique(comp, return_inverse=True)[1], linked)))))
 
-    return materialize(met.select("m", "m2").mapInArrow(run, "a long, b long").distinct(), "rest-pairs")
+    return materialize(dealt.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "group-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, with_hash: bool = False, trace=None) -> DataFrame:
@@ -365,20 +405,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     signed = materialize(sketches(texts, n), "sketches")
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    best = F.min(F.struct("doc_id", "text_hash", F.col("n_shingles").alias("n"), F.col("sketch").alias("data"))).alias("x")
-    classes = materialize(real.groupBy("set_id").agg(best, F.count(F.lit(1)).alias("copies")).select("set_id", "copies", F.col("x.doc_id").alias("cid"), "x.text_hash", "x.n", "x.data"), "classes")
+    best = F.min(F.struct("doc_id", "text_hash", F.col("n_shingles").alias("n"), F.col("sketch").alias("data"), "sig")).alias("x")
+    classes = materialize(real.groupBy("set_id").agg(best, F.count(F.lit(1)).alias("copies")).select("set_id", "copies", F.col("x.doc_id").alias("cid"), "x.text_hash", "x.n", "x.data", "x.sig"), "classes")
     texts = texts.where("doc_id IS NOT NULL")
 
     order = docs.sparkSession.sparkContext.broadcast(rarity(classes.select("data"), classes.agg(F.coalesce(F.sum(F.least("n", F.lit(K))), F.lit(0))).first()[0]))
     posted = materialize(_postings(classes, order, similarity, False), "postings")
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("own", "cid", "n")).alias("lead")).where("members > 1")
-    held = materialize(_with_lists(posted.select("key", "cid", "n", F.floor(F.col("own") * 32).alias("few")), lists, posted.count()), "lists")
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("own", "cid", "n", "sig")).alias("lead")).where("members > 1")
+    held = materialize(_with_lists(posted.select("key", "cid", "n", "sig"), lists, posted.count()), "lists")
     say("postings", lambda: posted.count(), lambda: held.count())
     m = F.col("m")
-    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
-    every = F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (x["cid"] < y["cid"]) & fits(x["n"], y["n"])), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b")))))
-    short = held.where(F.col("members") <= SHORT_LIST).groupBy("key").agg(F.collect_list(F.struct("cid", "n")).alias("m")).select(F.explode(every).alias("p")).select("p.a", "p.b")
-    star = held.where(F.col("members") > SHORT_LIST).where(F.col("cid") != F.col("lead.cid")).where(fits(F.col("n"), F.col("lead.n")))
+    most = most_unlike(64, similarity)
+    fits = lambda x, y: (F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]) - 1e-9) & (F.bit_count(x["sig"].bitwiseXOR(y["sig"])) <= most)
+    every = F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (x["cid"] < y["cid"]) & fits(x, y)), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b")))))
+    short = held.where(F.col("members") <= SHORT_LIST).groupBy("key").agg(F.collect_list(F.struct("cid", "n", "sig")).alias("m")).select(F.explode(every).alias("p")).select("p.a", "p.b")
+    star = held.where(F.col("members") > SHORT_LIST).where(F.col("cid") != F.col("lead.cid")).where(fits({x: F.col(x) for x in ("n", "sig")}, F.col("lead")))
     star = star.select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b"))
     pairs = materialize(short.unionByName(star).distinct(), "pairs")
     near = materialize(_promising(pairs, classes, similarity), "promising")
@@ -390,33 +431,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     done = components(links)
     say("links", lambda: links.count())
 
-    def apart() -> DataFrame:
-        """Members (key, cid, members, comp) of the long lists that still span components."""
-        found = held.where(F.col("members") > SHORT_LIST).join(done.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "cid", "left").select("key", "cid", "few", "members", F.coalesce("comp", "cid").alias("comp"))
-        found = materialize(found, "long-lists")
-        open_ = found.groupBy("key").agg(F.max("members").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "members")
-        return materialize(_with_lists(found.select("key", "cid", "few", "comp"), open_, held.count()), "open-lists")
-
-    def link(tried: DataFrame, name: str) -> None:
-        """Tries pairs; links found join the components."""
-        nonlocal done
-        found = _verified(materialize(_promising(tried, classes, similarity), "promising"), sets, percent)
-        say(name, lambda: tried.count(), lambda: found.count())
-        if not found.isEmpty():
-            done = components(done.unionByName(found))
-
-    for turn in range(PIVOT_ROUNDS):
-        left = apart()
-        if left.isEmpty():
-            break
-        # pivots are drawn alike by all lists, from classes with few values of their own; what they link need not be compared in full
-        draw = F.xxhash64(F.col("cid"), F.pmod(F.xxhash64("key"), F.lit(PIVOTS)) + turn * PIVOTS)
-        pivots = left.groupBy("key").agg(F.max("members").alias("members"), F.min(F.struct("few", draw.alias("draw"), F.col("cid").alias("p"), F.col("comp").alias("pc"))).alias("x")).select("key", "members", "x.p", "x.pc")
-        far = _with_lists(left.select("key", "cid", "comp"), pivots, held.count()).where("comp <> pc")
-        link(materialize(far.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct(), "pivot-pairs"), "pivots")
-    rest = materialize(apart().select("cid", "comp").distinct(), "rest")
+    # members of the long lists that still span components
+    found = held.where(F.col("members") > SHORT_LIST).join(done.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "cid", "left").select("key", "cid", "members", F.coalesce("comp", "cid").alias("comp"))
+    found = materialize(found, "long-lists")
+    open_ = found.groupBy("key").agg(F.max("members").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "members")
+    rest = materialize(_with_lists(found.select("key", "cid", "comp"), open_, held.count()).select("cid", "comp").distinct(), "rest")
     if not rest.isEmpty():
-        link(_rest_pairs(rest, sets, similarity), "rest")
+        grouped = _rest_groups(rest, sets, similarity)
+        members = materialize(grouped.join(rest, "cid").join(sets.select("cid", "data").hint("merge"), "cid"), "group-sets", "none")
+        late = _group_links(members, percent)
+        say("rest", lambda: rest.count(), lambda: members.count(), lambda: late.count())
+        if not late.isEmpty():
+            done = components(done.unionByName(late))
 
     named = classes.join(done.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "cid", "left").where("copies > 1 OR comp IS NOT NULL").select("set_id", F.coalesce("comp", "cid").alias("comp"))
     members = signed.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_id")).alias("set_id"))
