@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, read_table, text_or_empty
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.key_filter import key_filter, may_be_in
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality_rules import quality_rules
@@ -30,10 +31,12 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 def _without(docs: DataFrame, dropped: DataFrame, text_key: Column) -> DataFrame:
     """Documents but those in dropped(doc_id, key), which names rows by id (null included) and text.
 
-    dropped is written first: where its size shows that it is small, Spark does not move the documents.
+    Only documents that a filter of fixed size cannot rule out meet dropped in a join; the others do not move.
     """
     gone = materialize(dropped.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "dropped")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key == F.col("_key")), "left_anti")
+    named = may_be_in(key_filter(gone.select(F.xxhash64("_id", "_key"))), F.xxhash64(F.col("doc_id"), text_key))
+    met = docs.where(named).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key == F.col("_key")), "left_anti")
+    return docs.where(~named).unionByName(met)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,13 @@ def test_clashing_digests_are_resolved_by_text(spark):
 
 def test_empty_table(spark):
     assert exact_dedup(frame(spark, [])).count() == 0
+
+
+def test_texts_that_occur_once_do_not_move(spark):
+    rows = [(i, f"only {i}") for i in range(500)] + [(1000 + i, "twice") for i in range(2)] + [(None, "null id"), (7, "only 8")]
+    df = frame(spark, rows).repartition(3)
+    out = exact_dedup(df)
+    assert {tuple(r) for r in out.collect()} == brute(rows)
+    assert {r["doc_id"]: r["group_size"] for r in out.collect()}[8] == 2 and out.count() == len(rows)
+    plan = out._jdf.queryExecution().toString()
+    assert "Union" in plan and "ask(" in plan

@@ -39,3 +39,15 @@ def test_stages_take_effect(spark, tmp_path):
     for p in pieces:
         sizes[p["sequence_id"]] += p["length"]
     assert sum(s != 4096 and s & (s - 1) != 0 for s in sizes.values()) == 0
+
+
+def test_documents_that_are_not_dropped_do_not_move(spark):
+    rows = [(i, f"text {i}", "x") for i in range(400)] + [(None, "a", "x"), (None, "b", "x"), (5, "other", "x"), (6, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(3)
+    key = P.F.sha2(P.text_or_empty().cast("binary"), 256)
+    gone = [(3, "text 3"), (None, "a"), (5, "text 5"), (7, "text 8"), (6, None)]
+    dropped = spark.createDataFrame(gone, "doc_id long, text string").select("doc_id", key.alias("key"))
+    left = P._without(docs, dropped, key)
+    assert left.columns == docs.columns
+    assert {tuple(r) for r in left.collect()} == {r for r in rows if r[:2] not in gone}
+    assert "Union" in left._jdf.queryExecution().toString()

@@ -1,5 +1,8 @@
 """Exact deduplication by skew-safe combining.
 
+Digests are counted first. A text whose digest occurs once equals no other and does not move; a filter of
+fixed size finds the others, and a few more that do no harm. These meet in three steps:
+
 1. Local: each map task keeps one row per (digest, salt, text) of its own rows (partial aggregation).
 2. Salted: rows meet by (digest, salt, text); a hot text is spread over `n_salts` groups.
 3. Global: the at most `n_salts` salt winners of a digest meet and the largest id of equal texts wins.
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, read_table, text_or_empty
+from tidemark.llm.key_filter import key_filter, may_be_in
 
 N_SALTS = 32
 
@@ -42,6 +46,11 @@ def exact_dedup(
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     base = base.select("doc_id", "text", digest(F.col("text")).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(n_salts)).cast("int").alias("salt"))
 
+    repeated = materialize(base.groupBy(F.xxhash64("digest").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "exact-repeated")
+    maybe = may_be_in(key_filter(repeated), F.xxhash64("digest"))
+    alone, base = base.where(~maybe), base.where(maybe)
+    alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), _sha256(F.col("text")).alias("text_sha256"))
+
     winners = base.groupBy("digest", "salt", "text").agg(F.max("doc_id").alias("best"), F.count(F.lit(1)).alias("n"))
     met = (
         winners.repartition("digest")
@@ -60,7 +69,7 @@ def exact_dedup(
         some = base.join(clashes, "digest", "left_semi")
         exact = some.groupBy("digest", "text", "salt").agg(F.max("doc_id").alias("best"), F.count(F.lit(1)).alias("n")).groupBy("digest", "text").agg(F.max("best").alias("keep_id"), F.sum("n").alias("group_size"))
         found = found.unionByName(some.join(exact, ["digest", "text"]).select("doc_id", "keep_id", "group_size", _sha256(F.col("text")).alias("text_sha256")))
-    return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return found.unionByName(alone).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
