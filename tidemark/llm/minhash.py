@@ -10,15 +10,17 @@
    for somewhat larger ones, t is certain; for others fewer than t values are shared by a pair just
    at the bound in one case in 10^7.
 3. Lists of up to SHORT_LIST classes give all pairs. Longer ones, which near copies fill, link each
-   class to the one with the fewest values of its own.
+   class to the one with the fewest values of its own. Only pairs whose signatures of 64 min-wise bits
+   are near enough become rows (a pair just at the bound is lost in one case in 10^7).
 4. Pairs are filtered by the union-sketch estimate (4.5 standard errors: a pair just at the bound is
    lost in one case in 10^5), and what remains is verified by the exact Jaccard similarity of the
    full sets, built again from the texts.
-5. Long lists whose classes lie in one component by now are done; those of others meet a few pivots.
-   The classes of lists that still span components are listed once more, by their full sets: there the prefixes are as short as the similarity allows, and a
-   pair is dropped where the values after the shared one cannot suffice. Blocks of such a list are
-   compared across components only; pairs that pass go through step 4. So no list is cut and no
-   link of a large group is lost, while groups of copies never become all their pairs.
+5. Long lists whose classes lie in one component by now are done. The classes of those that still span
+   components are listed once more, by their full sets: there the prefixes are as short as the
+   similarity allows, and a pair is dropped where the values after the shared one cannot suffice or
+   signatures of 256 bits differ too much (one case in 10^7). What remains joins classes to groups, and
+   each two blocks of a group meet with their full sets. Both steps return only the links that join what
+   all links would join. So no list is cut, and groups of copies never become all their pairs.
 6. Connected components over the links between classes name the groups.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text of
