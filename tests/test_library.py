@@ -107,3 +107,16 @@ def test_urls_without_scheme_and_with_user(spark):
     assert [got[k].norm for k in range(5)] == ["https:///example.com/list", "https:///other.org/x", "https://a.org:8080/p?q=1", "http://host.org/a", "https://b.org/c"]
     assert [got[k].listed for k in range(8)] == ["https://example.com/list", "https://other.org/x", "https://a.org:8080/p", "http://user:pw@host.org/a", None, None, "https://host:8080/y", "https://d.org"]
     assert got[3].host == "host.org"
+
+
+def test_unwrapping_keeps_half_a_turn(spark):
+    def turned(previous, lon):
+        while lon - previous > 180:
+            lon -= 360
+        while lon - previous < -180:
+            lon += 360
+        return lon
+
+    pairs = [(p, x) for p in (-530.0, -180.0, -10.0, 0.0, 170.0, 180.0, 550.0) for x in (-180.0, -179.5, -10.0, 0.0, 10.0, 170.0, 179.5, 180.0)]
+    got = spark.createDataFrame(pairs, "p double, x double").select("p", "x", geo.unwrap_lon(F.col("p"), F.col("x")).alias("u")).collect()
+    assert len(got) == len(pairs) and all(r["u"] == turned(r["p"], r["x"]) for r in got)
