@@ -69,3 +69,25 @@ def test_versions_of_a_text(spark):
     got = dict(map(tuple, rt.pair_similarity(df).collect()))
     assert (got[1], got[2], got[3], got[5], got[6]) == (1.0, 0.0, 0.0, 0.0, 0.0) and abs(got[4] - plain_scores(long, [long + " more"])[0]) < 1e-9
     assert dict(map(tuple, rt.content_changed(df).collect())) == {1: False, 2: True, 3: True, 4: False, 5: True, 6: True}
+
+
+def test_texts_are_scored_where_they_lie(spark, tmp_path):
+    """No shuffle of words, pieces or texts, and the same rows as from tables of pieces and queries."""
+    from tidemark.plans import inventory_retrieval as plans
+
+    r = random.Random(3)
+    docs = [(k, None if k == 7 else text(r, r.choice([0, 3, 400, 3000]))) for k in range(60)]
+    items = [(k, text(r, 6)) for k in range(38)]  # documents 38, 39 have none
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    p = plans.pieces(spark, str(tmp_path)).cache()
+    asked = spark.createDataFrame([(k, dict(items)[k % 40]) for k, _ in docs if k % 40 < 38], "doc long, text string")
+    found = rt.chunk_scores(p, asked).cache()
+    score = plans.str_31(spark, str(tmp_path))
+    top = plans.srt_09(spark, str(tmp_path))
+    changed = plans.str_33(spark, str(tmp_path))
+    assert sorted(map(tuple, score.collect())) == sorted((x.doc, x.pos, round(x.score, 9)) for x in found.collect())
+    assert sorted(map(tuple, top.collect())) == sorted(map(tuple, rt.top_chunks(p, found).select("doc", "pos", "text", "rank").collect()))
+    assert {x.doc for x in changed.collect()} == set(range(60))
+    for df in (score, top, changed):
+        assert "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()

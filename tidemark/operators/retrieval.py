@@ -1,8 +1,8 @@
 """Chunks of texts, and how near they are to a query by TF-IDF.
 
-Each text is a collection of its own: its chunks and its query make the document frequencies. Weights live
-in a sparse table (text, chunk, term); the query's weight meets the chunks' at the same (text, term), so a
-chunk is never held against another, and dot products and norms are sums that combine before they shuffle.
+Each text is a collection of its own: its chunks and its query make the document frequencies. So a text is
+scored where it lies, as one row with its chunks in an array: no word travels. Words are found by Spark, counting
+them is a per-row helper in Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: Characters of a chunk and of its overlap, chunks kept, weight of list-like chunks, sameness of two versions.
 SIZE, OVERLAP, TOP, LIST_WEIGHT, SAME = 500, 60, 8, 1.4, 0.95
@@ -51,35 +51,66 @@ def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return cut(text)
 
 
-def terms(text: Column) -> Column:
-    """Words of two characters or more in lower case, and pairs of neighbouring ones, repeats kept."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"))
+def _words(text: Column) -> Column:
+    """Words of two characters or more in lower case, with single spaces."""
+    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})")), " ")
 
-    def with_pairs(w: Column) -> Column:
-        pairs = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, k: F.concat_ws(" ", F.get(w, k), x))
-        return F.concat(w, pairs)
 
-    return F.transform(F.array(words), with_pairs)[0]  # the words are found once
+def scores(pieces: Column, query: Column) -> Column:
+    """Cosines of a text's pieces (an array) with its query, by words and pairs of neighbouring words.
+
+    idf is ln((1 + n) / (1 + df)) + 1 over the n pieces and the query. Pieces or queries without a term score
+    0, as do pieces without a query.
+    """
+
+    @pandas_udf(ArrayType(DoubleType()))
+    def cosines(texts, queries):
+        from collections import Counter
+        from math import fsum, log, sqrt
+
+        import pandas as pd
+
+        def counted(t: str) -> Counter:
+            w = t.split()
+            found = Counter(w)
+            found.update(zip(w, w[1:]))
+            return found
+
+        def row(each, q: str) -> list[float]:
+            asked = counted(q)
+            if not asked:
+                return [0.0] * len(each)
+            held = [counted(t) for t in each]
+            df = Counter(asked.keys())
+            for tf in held:
+                df.update(tf.keys())
+            by_df = [log((2 + len(held)) / (1 + c)) + 1 if c else 0.0 for c in range(len(held) + 2)]
+            q_weight = {t: k * by_df[df[t]] for t, k in asked.items()}
+            q_norm = sqrt(fsum(w * w for w in q_weight.values()))
+            out = []
+            for tf in held:
+                norm = sqrt(fsum((k * by_df[df[t]]) ** 2 for t, k in tf.items()))
+                dot = fsum(tf[t] * by_df[df[t]] * w for t, w in q_weight.items() if t in tf)
+                out.append(dot / (norm * q_norm) if norm else 0.0)
+            return out
+
+        return pd.Series([None if each is None else row(each, q) for each, q in zip(texts, queries)], dtype=object)
+
+    return cosines(F.transform(pieces, _words), _words(query))
 
 
 def chunk_scores(pieces: DataFrame, queries: DataFrame) -> DataFrame:
-    """(doc, pos, score): cosine of each piece (doc, pos from 0, text) with its text's query (doc, text).
+    """(doc, pos, score) of pieces (doc, pos, text) and their texts' queries (doc, text), see scores."""
+    held = pieces.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "text"))).alias("p"))
+    asked = queries.select(F.col("doc"), F.col("text").alias("q"))
+    each = held.join(asked, "doc", "left").select("doc", "p.pos", scores(F.col("p.text"), F.col("q")).alias("score"))
+    return each.select("doc", F.explode(F.arrays_zip("pos", "score")).alias("z")).select("doc", "z.pos", "z.score")
 
-    idf is ln((1 + n) / (1 + df)) + 1 over a text's n pieces and its query. Pieces or queries without a term
-    score 0, as do texts without a query.
-    """
-    both = pieces.select("doc", F.col("pos").cast("long").alias("pos"), "text").unionByName(queries.select("doc", F.lit(-1).cast("long").alias("pos"), "text"))
-    sizes = both.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    counts = both.select("doc", "pos", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("doc", "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = Window.partitionBy("doc", "term")
-    found = counts.withColumn("df", F.count(F.lit(1)).over(w)).join(sizes, "doc")
-    found = found.withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    found = found.withColumn("q", F.max(F.when(F.col("pos") == -1, F.col("w"))).over(w))
-    sums = found.groupBy("doc", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * F.coalesce("q", F.lit(0.0))).alias("dot"))
-    own = sums.where("pos = -1").select("doc", F.col("norm").alias("qnorm"))
-    score = F.col("dot") / (F.col("norm") * F.col("qnorm"))
-    scored = sums.where("pos >= 0").join(own, "doc").select("doc", "pos", score.alias("score"))
-    return pieces.select("doc", F.col("pos").cast("long").alias("pos")).join(scored, ["doc", "pos"], "left").select("doc", "pos", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+def best_first(pieces: Column, score: Column, k: int = TOP) -> Column:
+    """The k best of a text's pieces as an array of (pos, text), ties to the earlier."""
+    order = F.sort_array(F.transform(score, lambda s, at: F.struct(F.round(s, 12).alias("s"), (-at).alias("at"))), asc=False)
+    return F.transform(F.slice(order, 1, k), lambda x: F.struct((-x["at"]).cast("long").alias("pos"), F.get(pieces, -x["at"]).alias("text")))
 
 
 def top_chunks(pieces: DataFrame, scores: DataFrame, k: int = TOP) -> DataFrame:
@@ -88,16 +119,22 @@ def top_chunks(pieces: DataFrame, scores: DataFrame, k: int = TOP) -> DataFrame:
     return pieces.join(scores, ["doc", "pos"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _empty() -> Column:
+    return (F.coalesce("a", F.lit("")) == "") | (F.coalesce("b", F.lit("")) == "")
+
+
+def _similarity() -> Column:
+    other = ~_empty() & (F.col("a") != F.col("b"))
+    score = F.get(scores(F.when(other, F.array("b")), F.when(other, F.col("a"))), F.lit(0))
+    return F.when(_empty(), 0.0).when(F.col("a") == F.col("b"), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+
 def pair_similarity(pairs: DataFrame) -> DataFrame:
     """(doc, similarity) of pairs (doc, a, b) of texts: 1 if equal, 0 if one is empty."""
-    empty = (F.coalesce("a", F.lit("")) == "") | (F.coalesce("b", F.lit("")) == "")
-    some = pairs.where(~empty & (F.col("a") != F.col("b")))
-    scores = chunk_scores(some.select("doc", F.lit(0).alias("pos"), F.col("b").alias("text")), some.select("doc", F.col("a").alias("text")))
-    fixed = F.when(empty, 0.0).when(F.col("a") == F.col("b"), 1.0)
-    return pairs.select("doc", fixed.alias("fixed")).join(scores.select("doc", "score"), "doc", "left").select("doc", F.coalesce("fixed", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))).alias("similarity"))
+    return pairs.select("doc", _similarity().alias("similarity"))
 
 
 def content_changed(pairs: DataFrame, same: float = SAME) -> DataFrame:
     """(doc, changed): whether two versions (a, b) differ by more than a touch; a missing version counts as changed."""
-    empty = (F.coalesce("a", F.lit("")) == "") | (F.coalesce("b", F.lit("")) == "")
-    return pair_similarity(pairs).join(pairs.select("doc", empty.alias("empty")), "doc").select("doc", (F.col("empty") | (F.col("similarity") < same)).alias("changed"))
+    found = pairs.select("doc", _empty().alias("empty"), _similarity().alias("similarity"))
+    return found.select("doc", (F.col("empty") | (F.col("similarity") < same)).alias("changed"))
